@@ -237,3 +237,174 @@ def e5_label_codes(spark, d):
     code = L.encode_label(F.col("likes_class"))
     return lab.select("post_id", "likes_class", code.alias("code")) \
               .withColumn("decoded", L.decode_label(F.col("code")))
+
+
+# ------------------------------------------------- prepared table: B --------
+from postresp.functions import features as D  # noqa: E402
+from postresp.operators import frame as B  # noqa: E402
+from postresp.operators import splits as S  # noqa: E402
+from postresp.plans.prepare import SIDE_COLUMNS  # noqa: E402
+
+_PREPARED_CTE = _LABELLED_CTE + f""",
+prepared AS (
+  SELECT replies_class AS replies, likes_class AS likes, retweets_class AS retweets,
+         text AS sentence, CAST(row_number() OVER (ORDER BY post_id) - 1 AS BIGINT) AS row,
+         post_id, tokens, {", ".join(SIDE_COLUMNS)}
+  FROM labelled)"""
+
+
+def _prepared_ns(spark, d) -> DataFrame:
+    return prepare_posts(posts(spark, d), squeeze=False)
+
+
+def _prep_sql(body: str, *more: str) -> str:
+    return with_posts(body, _CLEAN_CTE, _PREPARED_CTE, *more)
+
+
+@register("b2_prepared", _prep_sql("SELECT * FROM prepared"))
+def b2_prepared(spark, d):
+    return _prepared_ns(spark, d)
+
+
+@register("b3_row_number", _prep_sql("SELECT row, post_id FROM prepared"))
+def b3_row_number(spark, d):
+    return _prepared_ns(spark, d).select("row", "post_id")
+
+
+@register("b5_head", _prep_sql("SELECT row, post_id FROM prepared ORDER BY row LIMIT 100"))
+def b5_head(spark, d):
+    return B.head_rows(_prepared_ns(spark, d).select("row", "post_id"), 100, "row")
+
+
+@register("b6_label_prefix", _prep_sql(
+    "SELECT row, " + ", ".join(f"'__label__' || {t} AS {t}" for t in L.TARGETS) + " FROM prepared"))
+def b6_label_prefix(spark, d):
+    return B.prefix_labels(_prepared_ns(spark, d).select("row", *L.TARGETS), L.TARGETS)
+
+
+@register("b9_stage_ledger", with_posts(
+    f"""SELECT 'posts' AS stage, count(*) AS n_rows FROM posts
+UNION ALL SELECT 'after_year', count(*) FROM posts WHERE year IS NULL OR year > {CUTOFF_YEAR}
+UNION ALL SELECT 'after_removal', count(*) FROM cleaned_nd
+UNION ALL SELECT 'after_dedup', count(*) FROM cleaned""", _CLEAN_ND_CTE, _CLEAN_CTE))
+def b9_stage_ledger(spark, d):
+    p = posts(spark, d)
+    y = after_year(p, CUTOFF_YEAR)
+    removed = clean_posts(y, squeeze=False, dedup=False)
+    return B.stage_ledger([("posts", p), ("after_year", y), ("after_removal", removed),
+                           ("after_dedup", clean_posts(y, squeeze=False))])
+
+
+# ------------------------------------------------- structured features: D ---
+_STRUCT_SQL = """
+SELECT row,
+       CAST(to_timestamp(timestamp_epochs) AS TIMESTAMP) AS ts_parsed,
+       coalesce(length(hashtags) > 4, false) AS has_hash,
+       coalesce(length(links) > 4, false) AS has_url,
+       coalesce(contains(sentence, 'URL'), false) AS has_url2,
+       coalesce(contains(sentence, '_RETWEET'), false) AS has_retweet,
+       CAST((year(to_timestamp(timestamp_epochs)) - 2017) * 12 + month(to_timestamp(timestamp_epochs)) AS INTEGER) AS ym,
+       CAST((CAST(substr(CAST(year(to_timestamp(timestamp_epochs)) AS VARCHAR), 4) AS INTEGER) - 7) * 12
+            + month(to_timestamp(timestamp_epochs)) AS INTEGER) AS ym_compat
+FROM prepared"""
+
+
+def _structured(spark, d) -> DataFrame:
+    return D.add_structured(_prepared_ns(spark, d))
+
+
+@register("d1_d4_structured", _prep_sql(
+    "SELECT row, CAST(ts_parsed AS VARCHAR) AS ts_parsed, has_hash, has_url, has_url2, has_retweet, ym, "
+    f"ym_compat FROM ({_STRUCT_SQL})"))
+def d1_d4_structured(spark, d):
+    s = _structured(spark, d)
+    return s.select("row", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("ts_parsed"),
+                    "has_hash", "has_url", "has_url2", "has_retweet", "ym",
+                    D.year_month_index(F.col("timestamp"), compat=True).alias("ym_compat"))
+
+
+@register("d5_flag_percentages", _prep_sql(
+    "SELECT flag, pct FROM (SELECT "
+    + ", ".join(f"round(100.0 * sum(CAST({c} AS INTEGER)) / count(*), 2) AS {n}" for n, c in D.FLAG_REPORT)
+    + f" FROM ({_STRUCT_SQL.replace('SELECT row,', 'SELECT row, has_media, is_reply_to,', 1)})) "
+    + "UNPIVOT (pct FOR flag IN (" + ", ".join(n for n, _ in D.FLAG_REPORT) + "))"))
+def d5_flag_percentages(spark, d):
+    return D.flag_percentages(_structured(spark, d))
+
+
+def _with_embedding(spark, d) -> DataFrame:
+    emb = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "embedding")
+    return B.attach_by_row(_structured(spark, d), emb, "row", "left")
+
+
+@register("d6_d7_feature_union", _prep_sql(
+    "SELECT row, CAST(len(f) AS INTEGER) AS n_features, round(list_sum(f), 4) AS f_sum FROM ("
+    "SELECT s.row, list_concat(CAST(e.embedding AS DOUBLE[]), [CAST(s.has_media AS DOUBLE), "
+    "CAST(s.has_hash AS DOUBLE), CAST(s.has_url2 AS DOUBLE), CAST(s.is_reply_to AS DOUBLE), "
+    "CAST(s.has_retweet AS DOUBLE), CAST(s.ym AS DOUBLE)]) AS f "
+    f"FROM ({_STRUCT_SQL.replace('SELECT row,', 'SELECT row, has_media, is_reply_to,', 1)}) s "
+    "JOIN embeddings e ON e.vec_id = s.row)"))
+def d6_d7_feature_union(spark, d):
+    j = _with_embedding(spark, d).where(F.col("embedding").isNotNull())
+    f = D.feature_union(F.col("embedding"), D.structured_vector())
+    return j.select("row", f.alias("f")).select(
+        "row", F.size("f").alias("n_features"),
+        F.round(F.aggregate("f", F.lit(0.0), lambda acc, x: acc + x), 4).alias("f_sum"))
+
+
+# ------------------------------------------------- splits: F ----------------
+_FOLDS_CTE = """folds AS (
+  SELECT row, CAST(ntile(5) OVER (ORDER BY md5('13:' || CAST(row AS VARCHAR)), row) - 1 AS INTEGER) AS fold
+  FROM prepared)"""
+_SPLITS_CTE = """pairs AS (SELECT f.row, f.fold, CAST(k.k AS INTEGER) AS k FROM folds f CROSS JOIN range(5) AS k(k)),
+tr AS (SELECT row, k, row_number() OVER (PARTITION BY k ORDER BY md5('13:' || CAST(k AS VARCHAR) || ':' || CAST(row AS VARCHAR)), row) - 1 AS rk,
+              count(*) OVER (PARTITION BY k) AS nt FROM pairs WHERE fold <> k),
+splits AS (
+  SELECT row, k AS fold, CASE WHEN rk < ceil(0.125 * nt) THEN 'val' ELSE 'train' END AS split FROM tr
+  UNION ALL SELECT row, k AS fold, 'test' AS split FROM pairs WHERE fold = k)"""
+
+
+def _folded(spark, d) -> DataFrame:
+    return S.assign_folds(_prepared_ns(spark, d))
+
+
+@register("f1_folds", _prep_sql("SELECT row, fold FROM folds", _FOLDS_CTE))
+def f1_folds(spark, d):
+    return _folded(spark, d).select("row", "fold")
+
+
+@register("f1_fold_sizes", _prep_sql("SELECT fold, count(*) AS n_rows FROM folds GROUP BY fold", _FOLDS_CTE))
+def f1_fold_sizes(spark, d):
+    return _folded(spark, d).groupBy("fold").agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+
+
+@register("f2_f3_splits", _prep_sql("SELECT row, fold, split FROM splits", _FOLDS_CTE, _SPLITS_CTE))
+def f2_f3_splits(spark, d):
+    return S.split_table(_folded(spark, d).select("row", "fold"))
+
+
+@register("f3_split_counts", _prep_sql(
+    "SELECT fold, split, count(*) AS n_rows FROM splits GROUP BY fold, split", _FOLDS_CTE, _SPLITS_CTE))
+def f3_split_counts(spark, d):
+    return S.split_counts(S.split_table(_folded(spark, d).select("row", "fold")))
+
+
+# ------------------------------------------------- joins: G -----------------
+@register("g1_attach_embeddings", _prep_sql(
+    "SELECT p.row, p.post_id, CAST(len(e.embedding) AS INTEGER) AS emb_dim, e.label "
+    "FROM prepared p LEFT JOIN embeddings e ON e.vec_id = p.row"))
+def g1_attach_embeddings(spark, d):
+    emb = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "embedding", "label")
+    j = B.attach_by_row(_prepared_ns(spark, d).select("row", "post_id"), emb, "row", "left")
+    return j.select("row", "post_id",
+                    F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("emb_dim"), "label")
+
+
+@register("g3_fold_parts", _prep_sql(
+    "SELECT f.row, CAST(k.k AS INTEGER) AS k, CASE WHEN f.fold = k.k THEN 'test' ELSE 'train' END AS part "
+    "FROM folds f CROSS JOIN range(5) AS k(k)", _FOLDS_CTE))
+def g3_fold_parts(spark, d):
+    folded = _folded(spark, d).select("row", "fold")
+    parts = [B.fold_part(folded, k, part).select("row", F.lit(k).alias("k"), F.lit(part).alias("part"))
+             for k in range(S.N_FOLDS) for part in ("train", "test")]
+    return B.stack_runs(parts)
