@@ -408,3 +408,158 @@ def g3_fold_parts(spark, d):
     parts = [B.fold_part(folded, k, part).select("row", F.lit(k).alias("k"), F.lit(part).alias("part"))
              for k in range(S.N_FOLDS) for part in ("train", "test")]
     return B.stack_runs(parts)
+
+
+# ------------------------------------------------- metrics: J ---------------
+from postresp.operators import metrics as J  # noqa: E402
+from postresp.operators import stats as K  # noqa: E402
+
+# Prediction table for the SQL-checked metrics: each response class predicted
+# by another response's class (cross-target agreement), carried with its fold.
+CROSS_VARIANTS = [(t, s) for t in L.TARGETS for s in L.TARGETS if s != t]
+VARIANT_NAMES = [f"{t}_from_{s}" for t, s in CROSS_VARIANTS]
+
+
+def cross_target_predictions(spark, d) -> DataFrame:
+    f = _folded(spark, d)
+    parts = [f.select(F.lit(f"{t}_from_{s}").alias("variant"), F.lit(t).alias("target"),
+                      F.lit(s).alias("feature_set"), F.lit("label").alias("classifier"),
+                      "fold", "row", F.col(t).alias("truth"), F.col(s).alias("prediction"))
+             for t, s in CROSS_VARIANTS]
+    return B.stack_runs(parts)
+
+
+_PREDS_CTE = "preds AS (" + " UNION ALL ".join(
+    f"SELECT '{t}_from_{s}' AS variant, '{t}' AS target, '{s}' AS feature_set, 'label' AS classifier, "
+    f"f.fold, p.row, p.{t} AS truth, p.{s} AS prediction FROM prepared p JOIN folds f USING (row)"
+    for t, s in CROSS_VARIANTS) + ")"
+_CONF_CTES = """conf AS (SELECT variant, truth, prediction, count(*) AS n FROM preds GROUP BY ALL),
+ct AS (SELECT variant, truth AS cls, sum(n) AS t FROM conf GROUP BY ALL),
+cp AS (SELECT variant, prediction AS cls, sum(n) AS p FROM conf GROUP BY ALL),
+cd AS (SELECT variant, truth AS cls, sum(n) AS tp FROM conf WHERE truth = prediction GROUP BY ALL),
+tot AS (
+  SELECT x.variant, x.cls, CAST(x.t AS DOUBLE) AS t, CAST(x.p AS DOUBLE) AS p, CAST(coalesce(cd.tp, 0) AS DOUBLE) AS tp
+  FROM (SELECT coalesce(ct.variant, cp.variant) AS variant, coalesce(ct.cls, cp.cls) AS cls,
+               coalesce(ct.t, 0) AS t, coalesce(cp.p, 0) AS p
+        FROM ct FULL JOIN cp ON ct.variant = cp.variant AND ct.cls = cp.cls) x
+  LEFT JOIN cd ON cd.variant = x.variant AND cd.cls = x.cls)"""
+
+
+def _metric_sql(body: str, *more: str) -> str:
+    return _prep_sql(body, _FOLDS_CTE, _PREDS_CTE, *more)
+
+
+@register("j1_confusion", _metric_sql(
+    "SELECT variant, truth, prediction, count(*) AS n FROM preds GROUP BY ALL"))
+def j1_confusion(spark, d):
+    return J.confusion(cross_target_predictions(spark, d))
+
+
+@register("j2_micro_f1", _metric_sql(
+    "SELECT variant, round(avg(CAST(truth = prediction AS DOUBLE)), 3) AS f1 FROM preds GROUP BY variant"))
+def j2_micro_f1(spark, d):
+    return J.micro_f1(cross_target_predictions(spark, d))
+
+
+@register("j3_mcc", _metric_sql("""
+SELECT variant, round(CASE WHEN den = 0 THEN 0.0 ELSE (c * s - pt) / den END, 3) AS mcc FROM (
+  SELECT variant, sum(tp) AS c, sum(t) AS s, sum(p * t) AS pt,
+         sqrt((sum(t) * sum(t) - sum(p * p)) * (sum(t) * sum(t) - sum(t * t))) AS den
+  FROM tot GROUP BY variant)""", _CONF_CTES))
+def j3_mcc(spark, d):
+    return J.mcc(cross_target_predictions(spark, d))
+
+
+@register("j4_weighted_f1", _metric_sql("""
+SELECT variant, round(sum(CASE WHEN p + t = 0 THEN 0.0 ELSE 2.0 * tp / (p + t) END * t) / sum(t), 3) AS f1_weighted
+FROM tot GROUP BY variant""", _CONF_CTES))
+def j4_weighted_f1(spark, d):
+    return J.weighted_f1(cross_target_predictions(spark, d))
+
+
+_FOLD_F1_CTE = ("fold_scores AS (SELECT variant, fold, avg(CAST(truth = prediction AS DOUBLE)) AS f1 "
+                "FROM preds GROUP BY variant, fold)")
+
+
+def _fold_scores(spark, d) -> DataFrame:
+    return J.fold_f1(cross_target_predictions(spark, d))
+
+
+@register("j5_fold_f1", _metric_sql(
+    "SELECT variant, fold, round(f1, 6) AS f1 FROM fold_scores", _FOLD_F1_CTE))
+def j5_fold_f1(spark, d):
+    return _fold_scores(spark, d).withColumn("f1", F.round("f1", 6))
+
+
+@register("j6_fold_matrix", _metric_sql(
+    "SELECT fold, " + ", ".join(f"round(max(f1) FILTER (WHERE variant = '{v}'), 6) AS {v}"
+                                for v in VARIANT_NAMES) + " FROM fold_scores GROUP BY fold",
+    _FOLD_F1_CTE))
+def j6_fold_matrix(spark, d):
+    m = J.fold_matrix(_fold_scores(spark, d), VARIANT_NAMES)
+    return m.select("fold", *[F.round(v, 6).alias(v) for v in VARIANT_NAMES])
+
+
+@register("j7_leaderboard", _metric_sql(
+    "SELECT feature_set, classifier, " + ", ".join(
+        f"max(f1) FILTER (WHERE target = '{t}') AS {t}" for t in L.TARGETS)
+    + " FROM (SELECT target, feature_set, classifier, round(avg(CAST(truth = prediction AS DOUBLE)), 3) AS f1"
+      " FROM preds GROUP BY ALL) GROUP BY feature_set, classifier"))
+def j7_leaderboard(spark, d):
+    scores = J.micro_f1(cross_target_predictions(spark, d), ("target", "feature_set", "classifier"))
+    return J.leaderboard(scores, L.TARGETS)
+
+
+# ------------------------------------------------- statistics: K ------------
+def _melted(spark, d) -> DataFrame:
+    return K.melt_scores(_fold_scores(spark, d))
+
+
+@register("k2_melt", _metric_sql(
+    "SELECT fold AS index, variant AS treatments, round(f1, 6) AS value FROM fold_scores", _FOLD_F1_CTE))
+def k2_melt(spark, d):
+    return _melted(spark, d).withColumn("value", F.round("value", 6))
+
+
+_ANOVA_CTES = """g AS (SELECT variant, count(*) AS n, avg(f1) AS m FROM fold_scores GROUP BY variant),
+w AS (SELECT sum((s.f1 - g.m) * (s.f1 - g.m)) AS ss_w, count(*) AS n_tot, avg(s.f1) AS grand
+      FROM fold_scores s JOIN g USING (variant)),
+b AS (SELECT sum(g.n * (g.m - w.grand) * (g.m - w.grand)) AS ss_b, count(*) AS k FROM g CROSS JOIN w),
+a AS (SELECT b.ss_b, w.ss_w, CAST(b.k - 1 AS DOUBLE) AS df_b, CAST(w.n_tot - b.k AS DOUBLE) AS df_w
+      FROM b CROSS JOIN w)"""
+
+
+@register("k3_anova", _metric_sql("""
+SELECT 'C(treatments)' AS source, round(ss_b, 8) AS sum_sq, df_b AS df, round((ss_b / df_b) / (ss_w / df_w), 6) AS F FROM a
+UNION ALL SELECT 'Residual', round(ss_w, 8), df_w, CAST(NULL AS DOUBLE) FROM a""", _FOLD_F1_CTE, _ANOVA_CTES))
+def k3_anova(spark, d):
+    t = K.anova_oneway(_melted(spark, d), with_p=False)
+    return t.select("source", F.round("sum_sq", 8).alias("sum_sq"), "df", F.round("F", 6).alias("F"))
+
+
+@register("k3_anova_pvalue")
+def k3_anova_pvalue(spark, d):
+    """ANOVA with p-values (incomplete beta in a pandas UDF; no SQL form)."""
+    return K.anova_oneway(_melted(spark, d))
+
+
+@register("k4_tukey_q", _metric_sql("""
+SELECT g1.variant AS group1, g2.variant AS group2, round(g2.m - g1.m, 8) + 0.0 AS meandiff,
+       round(abs(g2.m - g1.m) / sqrt(a.ss_w / a.df_w / 2.0 * (1.0 / g1.n + 1.0 / g2.n)), 6) AS q
+FROM g g1 JOIN g g2 ON g1.variant < g2.variant CROSS JOIN a""", _FOLD_F1_CTE, _ANOVA_CTES))
+def k4_tukey_q(spark, d):
+    p = K.tukey_pairs(_melted(spark, d))
+    return p.select("group1", "group2", (F.round("meandiff", 8) + F.lit(0.0)).alias("meandiff"),
+                    F.round("q", 6).alias("q"))
+
+
+@register("k4_tukey_hsd")
+def k4_tukey_hsd(spark, d):
+    """Full Tukey HSD (studentized-range p and interval in pandas UDFs)."""
+    return K.tukey_hsd(_melted(spark, d))
+
+
+@register("k1_normality")
+def k1_normality(spark, d):
+    """Shapiro-Wilk per variant over its fold scores (applyInPandas)."""
+    return K.normality(_melted(spark, d))
