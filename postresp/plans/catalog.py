@@ -563,3 +563,137 @@ def k4_tukey_hsd(spark, d):
 def k1_normality(spark, d):
     """Shapiro-Wilk per variant over its fold scores (applyInPandas)."""
     return K.normality(_melted(spark, d))
+
+
+# ------------------------------------------------- text -> vectors: H -------
+from postresp.operators import embed as H  # noqa: E402
+from postresp.operators import experiment as X  # noqa: E402
+
+# Rounds for the registered boosted-tree query: one-vs-rest x 5 folds of 250
+# rounds is the slowest item of the grid; the library default stays 250.
+QUERY_GBT_ROUNDS = 10
+
+
+def _splits(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    prepared = _prepared_ns(spark, d)
+    folded = S.assign_folds(prepared)
+    return prepared, folded, S.split_table(folded.select("row", "fold"))
+
+
+def _vec_summary(df: DataFrame) -> DataFrame:
+    e = F.col("embedding")
+    return df.select("target", "feature_set", "fold", "row", F.size(e).alias("dim"),
+                     F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
+@register("h1_word2vec_fold0")
+def h1_word2vec_fold0(spark, d):
+    """Word2Vec fitted on fold 0's training rows, all rows embedded."""
+    prepared, _, splits = _splits(spark, d)
+    return _vec_summary(H.fold_embeddings(prepared, splits, "word2vec", folds=[0]))
+
+
+@register("h2_subword_fold0")
+def h2_subword_fold0(spark, d):
+    prepared, _, splits = _splits(spark, d)
+    return _vec_summary(H.fold_embeddings(prepared, splits, "subword", folds=[0]))
+
+
+@register("h3_batch_embed")
+def h3_batch_embed(spark, d):
+    """Arrow-batched inference (32 texts per call) with the hashing stand-in model."""
+    prepared = _prepared_ns(spark, d)
+    e = H.batch_embed(prepared.select("row", "sentence"))
+    return e.select("row", F.size("embedding").alias("dim"),
+                    F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("sum"))
+
+
+@register("h4_fold_embeddings")
+def h4_fold_embeddings(spark, d):
+    """All five folds of the subword set -> the long embedding table."""
+    prepared, _, splits = _splits(spark, d)
+    return _vec_summary(H.fold_embeddings(prepared, splits, "subword"))
+
+
+@register("h5_half_precision")
+def h5_half_precision(spark, d):
+    emb = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "embedding")
+    r = emb.withColumn("half", H.half_precision(F.col("embedding")))
+    diff = F.aggregate(F.zip_with("embedding", "half", lambda a, b: F.abs(a - b)), F.lit(0.0),
+                       lambda acc, x: F.greatest(acc, x))
+    return r.select("row", F.size("half").alias("dim"), diff.alias("max_abs_change"))
+
+
+# ------------------------------------------------- classifiers: I -----------
+def _structured_table(spark, d) -> DataFrame:
+    prepared, folded, _ = _splits(spark, d)
+    return X.feature_table(prepared, folded, None, "structured")
+
+
+def _oof(spark, d, clf: str, estimators: int = 250) -> DataFrame:
+    v = X.Variant("likes", "structured", False, clf)
+    return X.out_of_fold(_structured_table(spark, d), v, estimators)
+
+
+@register("i1_rf_oof")
+def i1_rf_oof(spark, d):
+    return _oof(spark, d, "RF")
+
+
+@register("i2_gbt_oof")
+def i2_gbt_oof(spark, d):
+    return _oof(spark, d, "XGB", QUERY_GBT_ROUNDS)
+
+
+@register("i3_ridge_oof")
+def i3_ridge_oof(spark, d):
+    return _oof(spark, d, "Ridge")
+
+
+@register("i4_mlp_oof")
+def i4_mlp_oof(spark, d):
+    return _oof(spark, d, "MLP")
+
+
+# ------------------------------------------------- explanation: L -----------
+from postresp.operators import explain as XP  # noqa: E402
+from postresp.operators import metrics as _M  # noqa: E402
+
+SHAP_FOLD = 0
+
+
+def _fold_model(spark, d, clf: str, estimators: int):
+    table = _structured_table(spark, d)
+    v = X.Variant("likes", "structured", False, clf)
+    return X.fold_model(table, v, SHAP_FOLD, estimators)
+
+
+@register("l1_fold_model_scores")
+def l1_fold_model_scores(spark, d):
+    """One fold's RF model: MCC and support-weighted F1 on its test rows."""
+    _, _, pred = _fold_model(spark, d, "RF", 250)
+    conf = _M.confusion(pred)
+    return _M.mcc(pred, conf=conf).join(_M.weighted_f1(pred, conf=conf), "variant")
+
+
+@register("l2_tree_shap")
+def l2_tree_shap(spark, d):
+    """Exact Tree SHAP of the fold-0 random forest on its training rows."""
+    model, train, _ = _fold_model(spark, d, "RF", 250)
+    return XP.tree_shap(model, train, "RF", D.STRUCTURED_FEATURES)
+
+
+@register("l3_permutation_shap")
+def l3_permutation_shap(spark, d):
+    """Sampled-permutation Shapley values of the fold-0 MLP for 50 training rows
+    against a 50-row background (the reference's settings), 1000 samples."""
+    model, train, _ = _fold_model(spark, d, "MLP", 0)
+    first = B.head_rows(train, 50, "row")
+    return XP.permutation_shap(model, first, first, len(D.STRUCTURED_FEATURES),
+                               n_samples=1000, feature_names=D.STRUCTURED_FEATURES)
+
+
+@register("l4_global_importance")
+def l4_global_importance(spark, d):
+    """Top-15 features by mean |phi| (Tree SHAP of the fold-0 forest)."""
+    return XP.global_importance(l2_tree_shap(spark, d), 15)
