@@ -697,3 +697,101 @@ def l3_permutation_shap(spark, d):
 def l4_global_importance(spark, d):
     """Top-15 features by mean |phi| (Tree SHAP of the fold-0 forest)."""
     return XP.global_importance(l2_tree_shap(spark, d), 15)
+
+
+# ------------------------------------------------- sources / sinks: A -------
+import uuid as _uuid  # noqa: E402
+
+from postresp.session import scratch_path  # noqa: E402
+from postresp.sources import io as A  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    return scratch_path(spark, f"io/{name}/{_uuid.uuid4().hex}")
+
+
+@register("a3_prepared_readback", _prep_sql("SELECT * FROM prepared"))
+def a3_prepared_readback(spark, d):
+    path = _scratch(spark, "prepared")
+    A.write_table(_prepared_ns(spark, d), path)
+    return spark.read.parquet(path)
+
+
+_TARGETS_VALUES = "(VALUES " + ", ".join(f"('{t}')" for t in L.TARGETS) + ") AS tg(target)"
+
+
+@register("a4_split_files_readback", _prep_sql(
+    f"SELECT tg.target, fold, split, count(*) AS n_rows FROM splits CROSS JOIN {_TARGETS_VALUES} "
+    "GROUP BY tg.target, fold, split", _FOLDS_CTE, _SPLITS_CTE))
+def a4_split_files_readback(spark, d):
+    prepared, _, splits = _splits(spark, d)
+    path = _scratch(spark, "splits")
+    A.write_split_files(prepared, splits, path)
+    back = A.read_split_files(spark, path)
+    return back.groupBy("target", F.col("fold").cast("int").alias("fold"), "split") \
+        .agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+
+
+@register("a2_a5_embeddings_readback")
+def a2_a5_embeddings_readback(spark, d):
+    """Write the subword embedding table partitioned, read one set back (pruned)."""
+    prepared, _, splits = _splits(spark, d)
+    path = _scratch(spark, "embeddings")
+    A.write_embeddings(H.fold_embeddings(prepared, splits, "subword", folds=[0, 1]), path)
+    return _vec_summary(A.read_embedding_set(spark, path, "subword", fold=1))
+
+
+@register("a6_a7_results_readback")
+def a6_a7_results_readback(spark, d):
+    """Write ridge out-of-fold predictions, read them back, score per variant."""
+    path = _scratch(spark, "results")
+    A.write_results(_oof(spark, d, "Ridge"), path)
+    back = A.read_results(spark, path, mixed=False)
+    return J.micro_f1(back).join(J.mcc(back), "variant")
+
+
+@register("a8_report_readback")
+def a8_report_readback(spark, d):
+    path = _scratch(spark, "report")
+    obs = _melted(spark, d)
+    A.write_report(path, anova=K.anova_oneway(obs), tukey=K.tukey_pairs(obs))
+    return spark.read.json(f"{path}/anova")
+
+
+# ------------------------------------------------- grid: I6 -----------------
+GRID_CLASSIFIERS = ["RF", "Ridge"]
+
+
+def _grid_predictions(spark, d) -> DataFrame:
+    prepared, folded, splits = _splits(spark, d)
+    emb = H.fold_embeddings(prepared, splits, "subword")
+    tables = {("likes", "structured", False): X.feature_table(prepared, folded, None, "structured")}
+    for mixed in (False, True):
+        tables[("likes", "subword", mixed)] = {
+            k: X.feature_table(prepared, folded, emb, "subword", fold=k, mixed=mixed) for k in range(5)}
+    variants = [X.Variant("likes", fs, mixed, c) for (_, fs, mixed) in tables for c in GRID_CLASSIFIERS]
+    return X.run_grid(tables, variants, out_path=_scratch(spark, "grid"), threads=2)
+
+
+@register("i6_grid_leaderboard")
+def i6_grid_leaderboard(spark, d):
+    """Grid over feature groups I-III x classifiers; pooled micro F1 and MCC."""
+    pred = _grid_predictions(spark, d)
+    scores = J.micro_f1(pred, ("variant", "target", "feature_set", "mixed", "classifier"))
+    return scores.join(J.mcc(pred), "variant")
+
+
+# ------------------------------------------------- streaming: N1 ------------
+from postresp.streaming.score import score_stream  # noqa: E402
+
+
+@register("n1_stream_scores")
+def n1_stream_scores(spark, d):
+    """Posts streamed file by file, cleaned, de-duplicated within the watermark,
+    labelled with cut points frozen from the batch run."""
+    src = _scratch(spark, "stream-src")
+    p = posts(spark, d)
+    p.repartitionByRange(4, "post_id").write.mode("overwrite").parquet(src)
+    cuts = L.cut_points(_clean_ns(spark, d))
+    out = score_stream(spark, src, cuts, cutoff_year=CUTOFF_YEAR, squeeze=False)
+    return out.select("post_id", *[f"{t}_class" for t in L.TARGETS], "tokens")
