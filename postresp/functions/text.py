@@ -61,6 +61,8 @@ TOKEN_THRESHOLD = 2
 DELETE_SENTINEL = "DELETE"
 # ---------------------------------------------------------------------------
 
+# Whitespace / non-whitespace runs (their concatenation is the text).
+RUN_PATTERN = "(?U)\\s+|\\S+"
 # Tokens: runs of letters/digits/underscore, or any single other non-space char.
 TOKEN_PATTERN = "(?U)[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]"
 
@@ -86,13 +88,20 @@ def squeeze_repeats(c: Column, passes: int = SQUEEZE_PASSES) -> Column:
 
     Works on units, not only letters (``hahahahaha`` -> ``haha``); long runs do
     not fully reach two copies within 10 passes, exactly like the reference.
+
+    A match never crosses whitespace (unit and copies are ``\\S``), so the text
+    is cut into whitespace / non-whitespace runs and only runs that contain a
+    repeat get the passes -- same result as passing over the whole text, but
+    the repeated scans touch a few short runs instead of every character.
     """
-    # A pass that finds no match leaves the text unchanged, so every later
-    # pass is a no-op: one search decides whether the chain runs at all.
-    chained = c
-    for _ in range(passes):
-        chained = F.regexp_replace(chained, SQUEEZE_PATTERN, SQUEEZE_REPLACEMENT)
-    return F.when(c.rlike(SQUEEZE_PATTERN), chained).otherwise(c)
+    def chain(r):
+        for _ in range(passes):
+            r = F.regexp_replace(r, SQUEEZE_PATTERN, SQUEEZE_REPLACEMENT)
+        return r
+    runs = F.regexp_extract_all(c, F.lit(RUN_PATTERN), 0)
+    squeezed = F.array_join(F.transform(
+        runs, lambda r: F.when(r.rlike(SQUEEZE_PATTERN), chain(r)).otherwise(r)), "")
+    return F.when(c.rlike(SQUEEZE_PATTERN), squeezed).otherwise(c)
 
 
 def remove_newlines(c: Column) -> Column:
@@ -128,8 +137,8 @@ def count_content_tokens(c: Column, stop_words: list[str] | None = None) -> Colu
     ``filter`` keeps repeated tokens; ``array_except`` would de-duplicate.
     """
     stop = stop_words if stop_words is not None else ENGLISH_STOP_WORDS
-    stop_arr = F.array(*[F.lit(w) for w in stop])
-    return F.size(F.filter(tokenize(c), lambda t: ~F.array_contains(stop_arr, t)))
+    # isin over a literal list becomes a hash-set lookup (InSet)
+    return F.size(F.filter(tokenize(c), lambda t: ~t.isin(*stop)))
 
 
 def count_plain_words(c: Column) -> Column:

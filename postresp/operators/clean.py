@@ -49,17 +49,15 @@ def clean_posts(df: DataFrame, text_col: str = "text", id_col: str = "post_id",
     # generated columns below the Generate -- otherwise it inlines the whole
     # regex chain into the pushed-down filter and every text is cleaned twice.
     n_words = T.count_plain_words(F.col("_strip")) if words else F.lit(None).cast("int")
+    # compat: the reference writes the sentinel for removed posts and then drops
+    # every text containing it, genuine posts included.  Collapsing spaces can
+    # neither create nor remove that substring, so the cleaned text is tested.
+    sentinel = F.col("_clean").contains(T.DELETE_SENTINEL) if compat else F.lit(False)
     staged = staged.select("*", F.inline(F.array(F.struct(
         T.count_content_tokens(F.col("_strip"), stop_words).alias("tokens"),
-        n_words.alias("_words")))))
-    staged = staged.withColumn("_keep", T.keep_post(F.col("tokens"),
-                                                    F.col("_words") if words else None, threshold))
-    staged = staged.withColumn(
-        text_col, F.when(F.col("_keep"), T.collapse_spaces(F.col("_clean")))
-        .otherwise(F.lit(T.DELETE_SENTINEL)))
-    if compat:
-        kept = staged.where(~F.col(text_col).contains(T.DELETE_SENTINEL))
-    else:
-        kept = staged.where(F.col("_keep"))
-    kept = kept.drop("_clean", "_strip", "_keep", "_words")
+        n_words.alias("_words"), sentinel.alias("_sentinel")))))
+    keep = T.keep_post(F.col("tokens"), F.col("_words") if words else None, threshold)
+    kept = (staged.where(keep & ~F.col("_sentinel"))
+            .withColumn(text_col, T.collapse_spaces(F.col("_clean")))
+            .drop("_clean", "_strip", "_words", "_sentinel"))
     return dedup_first(kept, text_col, id_col) if dedup else kept
