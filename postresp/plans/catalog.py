@@ -795,3 +795,23 @@ def n1_stream_scores(spark, d):
     cuts = L.cut_points(_clean_ns(spark, d))
     out = score_stream(spark, src, cuts, cutoff_year=CUTOFF_YEAR, squeeze=False)
     return out.select("post_id", *[f"{t}_class" for t in L.TARGETS], "tokens")
+
+
+# ------------------------------------------------- B8 / G2 ------------------
+@register("b8_variants_for_target", _metric_sql(
+    "SELECT DISTINCT variant FROM preds WHERE contains(variant, 'likes')"))
+def b8_variants_for_target(spark, d):
+    return B.variants_for_target(cross_target_predictions(spark, d), "likes").select("variant").distinct()
+
+
+@register("g2_stack_runs", _metric_sql(
+    "SELECT variant, fold, round(avg(CAST(truth = prediction AS DOUBLE)), 6) AS f1, 'single' AS run "
+    "FROM preds WHERE contains(variant, '_from_replies') GROUP BY variant, fold "
+    "UNION ALL SELECT variant, fold, round(avg(CAST(truth = prediction AS DOUBLE)), 6), 'mixed' "
+    "FROM preds WHERE NOT contains(variant, '_from_replies') GROUP BY variant, fold"))
+def g2_stack_runs(spark, d):
+    """Fold scores of two result sets put together in long form."""
+    p = cross_target_predictions(spark, d)
+    a = J.fold_f1(p.where(F.col("variant").contains("_from_replies")), 6).withColumn("run", F.lit("single"))
+    b = J.fold_f1(p.where(~F.col("variant").contains("_from_replies")), 6).withColumn("run", F.lit("mixed"))
+    return B.stack_runs([a, b])
