@@ -56,6 +56,19 @@ def row_number_exact(df: DataFrame, order_by, name: str = "row",
     return out.drop("_mid", "_pid", "_off")
 
 
+def number_by_key(df: DataFrame, key: str, name: str = "row", **kw) -> DataFrame:
+    """B3 for a unique ``key``: number the narrow key column, join the rows back.
+
+    Only the key goes through the range exchange and the checkpoint; the wide
+    rows are shuffled once by the join instead of being written to the
+    checkpoint folder.  Use it when ``df`` is cheap to recompute (e.g. already
+    materialised); for an expensive lineage number the wide table instead,
+    whose checkpoint then also cuts that lineage.
+    """
+    keys = row_number_exact(df.select(key), key, name=name, **kw)
+    return df.join(keys, key)
+
+
 def rank_within(df: DataFrame, group_by, order_by, name: str = "rank") -> DataFrame:
     """0-based row number inside each group, ordered by ``order_by``.
 

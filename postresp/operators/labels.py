@@ -1,8 +1,8 @@
 """Quantile cut points, class labels and box-plot statistics.
 
 Cut points are one global aggregate (partial per task, merged once); the
-resulting one-row table is attached with a broadcast cross join -- its size is
-one row by construction, whatever the input size.
+resulting one-row table is fetched and its values become literals of the
+label expression, so labelling adds no join to the plan.
 
 ``method="exact"`` uses ``percentile`` (linear interpolation, equal to pandas
 ``quantile`` and DuckDB ``quantile_cont``); its buffer holds one entry per
@@ -63,10 +63,12 @@ def add_labels(df: DataFrame, targets=TARGETS, cuts: DataFrame | None = None,
     Pass ``cuts`` computed on training rows only for ``fit_on="train"``.
     """
     cuts = cuts if cuts is not None else cut_points(df, targets, **kw)
-    joined = df.crossJoin(F.broadcast(cuts))
-    return joined.select(
+    # the cut table has exactly one row: fetch it and use its values as literals
+    # (no join in the plan; a stream gets its cut points frozen this way)
+    c = cuts.first().asDict()
+    return df.select(
         *df.columns,
-        *[label_column(F.col(t), F.col(f"{t}_q1"), F.col(f"{t}_q2")).alias(f"{t}{suffix}")
+        *[label_column(F.col(t), F.lit(c[f"{t}_q1"]), F.lit(c[f"{t}_q2"])).alias(f"{t}{suffix}")
           for t in targets])
 
 

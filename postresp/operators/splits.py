@@ -30,12 +30,14 @@ def val_hash(row_col: str = "row", fold_col: str = "k", seed: int = FOLD_SEED):
 def assign_folds(df: DataFrame, row_col: str = "row", k: int = N_FOLDS,
                  seed: int = FOLD_SEED, fold_col: str = "fold") -> DataFrame:
     """add ``fold`` in [0, k): seeded shuffle, sizes differ by at most one."""
-    hashed = df.withColumn("_fh", fold_hash(row_col, seed))
+    # only the narrow (hash, row) pair is numbered; wide columns join back
+    hashed = df.select(row_col).withColumn("_fh", fold_hash(row_col, seed))
     numbered = row_number_exact(hashed, ["_fh", row_col], name="_frank")
-    total = numbered.agg(F.count(F.lit(1)).alias("_n"))  # one row
-    out = numbered.crossJoin(F.broadcast(total))
-    return (out.withColumn(fold_col, ntile_index(F.col("_frank"), F.col("_n"), k))
-            .drop("_fh", "_frank", "_n"))
+    n = numbered.count()
+    folds = numbered.select(row_col, ntile_index(F.col("_frank"), F.lit(n), k).alias(fold_col))
+    if len(df.columns) == 1:
+        return folds
+    return df.join(folds, row_col)
 
 
 def split_table(folded: DataFrame, row_col: str = "row", fold_col: str = "fold",
@@ -45,9 +47,9 @@ def split_table(folded: DataFrame, row_col: str = "row", fold_col: str = "fold",
     of the others, the first ``ceil(val_fraction * n_train)`` in a second
     seeded hash order are ``val`` and the rest ``train`` (70/10/20 overall).
     """
-    spark = folded.sparkSession
-    ks = spark.range(k).select(F.col("id").cast("int").alias("k"))
-    pairs = folded.select(row_col, fold_col).crossJoin(F.broadcast(ks))
+    # every row once per fold: a generator, not a join
+    pairs = folded.select(row_col, fold_col,
+                          F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k"))
     test = (pairs.where(F.col(fold_col) == F.col("k"))
             .select(row_col, F.col("k").alias("fold"), F.lit("test").alias("split")))
     train = pairs.where(F.col(fold_col) != F.col("k")).withColumn("_vh", val_hash(row_col, "k", seed))

@@ -70,13 +70,13 @@ def anova_oneway(obs: DataFrame, group: str = "treatments", value: str = "value"
     """K3: type-2 one-way ANOVA table ``(source, sum_sq, df, F[, p_value])``."""
     obs = obs.select(group, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
     summ = _group_summary(obs, group, value)
-    within = (obs.join(F.broadcast(summ), group)
-              .agg(F.sum((F.col(value) - F.col("mean")) ** 2).alias("ss_w"),
-                   F.count(F.lit(1)).alias("n_tot"), F.avg(value).alias("grand")))
-    between = summ.crossJoin(F.broadcast(within)).agg(
-        F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ss_b"),
-        F.count(F.lit(1)).alias("k"), F.first("ss_w").alias("ss_w"), F.first("n_tot").alias("n_tot"))
-    t = between.select(
+    w = (obs.join(F.broadcast(summ), group)
+         .agg(F.sum((F.col(value) - F.col("mean")) ** 2).alias("ss_w"),
+              F.count(F.lit(1)).alias("n_tot"), F.avg(value).alias("grand"))).first()
+    between = summ.agg(
+        F.sum(F.col("n") * (F.col("mean") - F.lit(w.grand)) ** 2).alias("ss_b"),
+        F.count(F.lit(1)).alias("k"))
+    t = between.withColumn("ss_w", F.lit(w.ss_w)).withColumn("n_tot", F.lit(w.n_tot)).select(
         "ss_b", "ss_w", (F.col("k") - 1).cast("double").alias("df_b"),
         (F.col("n_tot") - F.col("k")).cast("double").alias("df_w"))
     t = t.withColumn("F", (F.col("ss_b") / F.col("df_b")) / (F.col("ss_w") / F.col("df_w")))
@@ -106,16 +106,19 @@ def tukey_pairs(obs: DataFrame, group: str = "treatments", value: str = "value")
     """
     obs = obs.select(group, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
     summ = _group_summary(obs, group, value)
-    mse = (obs.join(F.broadcast(summ), group)
-           .agg(F.sum((F.col(value) - F.col("mean")) ** 2).alias("ss_w"),
-                F.count(F.lit(1)).alias("n_tot")))
-    k = summ.agg(F.count(F.lit(1)).alias("k"))
-    info = mse.crossJoin(k).select((F.col("ss_w") / (F.col("n_tot") - F.col("k"))).alias("mse"),
-                                   (F.col("n_tot") - F.col("k")).cast("double").alias("df_w"),
-                                   F.col("k").cast("int").alias("k"))
+    w = (obs.join(F.broadcast(summ), group)
+         .agg(F.sum((F.col(value) - F.col("mean")) ** 2).alias("ss_w"),
+              F.count(F.lit(1)).alias("n_tot"))).first()
+    k = summ.count()
+    df_w = w.n_tot - k
     a = summ.select(F.col(group).alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
     b = summ.select(F.col(group).alias("group2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
-    pairs = a.join(b, F.col("group1") < F.col("group2")).crossJoin(F.broadcast(info))
+    # the test compares every pair of treatments: pairs of the k summary rows
+    # (k = number of variants), never of observations
+    pairs = (a.join(F.broadcast(b), F.col("group1") < F.col("group2"))
+             .withColumn("mse", F.lit(w.ss_w / df_w if df_w > 0 else None).cast("double"))
+             .withColumn("df_w", F.lit(float(df_w)))
+             .withColumn("k", F.lit(int(k))))
     se = F.sqrt(F.col("mse") / 2.0 * (1.0 / F.col("n1") + 1.0 / F.col("n2")))
     return pairs.select("group1", "group2", (F.col("m2") - F.col("m1")).alias("meandiff"),
                         se.alias("se"), "k", "df_w") \

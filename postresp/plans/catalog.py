@@ -365,7 +365,8 @@ splits AS (
 
 
 def _folded(spark, d) -> DataFrame:
-    return S.assign_folds(_prepared_ns(spark, d))
+    """``(row, fold, <target labels>)`` -- narrow: texts are not carried."""
+    return S.assign_folds(_prepared_ns(spark, d).select("row", *L.TARGETS))
 
 
 @register("f1_folds", _prep_sql("SELECT row, fold FROM folds", _FOLDS_CTE))
@@ -576,8 +577,8 @@ QUERY_GBT_ROUNDS = 10
 
 def _splits(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     prepared = _prepared_ns(spark, d)
-    folded = S.assign_folds(prepared)
-    return prepared, folded, S.split_table(folded.select("row", "fold"))
+    folded = S.assign_folds(prepared.select("row"))
+    return prepared, folded, S.split_table(folded)
 
 
 def _vec_summary(df: DataFrame) -> DataFrame:

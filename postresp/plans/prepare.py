@@ -32,15 +32,17 @@ def prepare_posts(df: DataFrame, cutoff_year: int = CUTOFF_YEAR, targets=TARGETS
     ``row`` (0-based, input order), ``tokens``, then the ten side columns.
     """
     clean = cleaned_posts(df, cutoff_year, **clean_kw)
-    labelled = add_labels(clean, targets, method=quantile_method)
-    out = labelled.select(
-        *[F.col(f"{t}_class").alias(t) for t in targets],
-        F.col("text").alias("sentence"),
-        "post_id", "tokens", *SIDE_COLUMNS)
     if not number:
-        return out
-    numbered = row_number_exact(out, "post_id", name="row")
-    return numbered.select(*targets, "sentence", "row", "post_id", "tokens", *SIDE_COLUMNS)
+        labelled = add_labels(clean, targets, method=quantile_method)
+        return labelled.select(*[F.col(f"{t}_class").alias(t) for t in targets],
+                               F.col("text").alias("sentence"), "post_id", "tokens", *SIDE_COLUMNS)
+    # The cleaned table is numbered and checkpointed as a whole: the checkpoint
+    # is the written prepared table, so the regex-heavy cleaning runs once; cut
+    # points are then computed from it and labels added as a projection.
+    numbered = row_number_exact(clean, "post_id", name="row")
+    labelled = add_labels(numbered, targets, method=quantile_method)
+    return labelled.select(*[F.col(f"{t}_class").alias(t) for t in targets],
+                           F.col("text").alias("sentence"), "row", "post_id", "tokens", *SIDE_COLUMNS)
 
 
 def prepare_from_tables(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
