@@ -198,8 +198,11 @@ def e2_label_counts(spark, d):
 
 @register("prepare_label_counts")
 def prepare_label_counts(spark, d):
-    """Flagship: posts per class after the full cleaning (with squeezing)."""
-    return L.label_counts(L.add_labels(cleaned_posts(posts(spark, d))))
+    """Flagship: posts per class after the full cleaning (with squeezing).
+
+    Goes through the prepared table: its checkpoint is the one materialisation
+    of the cleaned posts that both the cut points and the labels read."""
+    return L.label_counts(prepare_posts(posts(spark, d)), suffix="")
 
 
 _LONG_SQL = " UNION ALL ".join(

@@ -44,7 +44,7 @@ def score_stream(spark: SparkSession, source_dir: str, cuts: DataFrame, model=No
     dedup = (cleaned.withWatermark("ts", watermark)
              .withColumn("_h", F.xxhash64("text"))
              .dropDuplicatesWithinWatermark(["_h", "text"]).drop("_h"))
-    labelled = add_labels(dedup, TARGETS, cuts=cuts)
+    labelled = add_labels(dedup, TARGETS, cuts=cuts, frozen=True)
     out = labelled.withColumnRenamed("text", "sentence")
     if model is not None:
         from pyspark.ml.functions import array_to_vector
