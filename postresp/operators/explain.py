@@ -109,40 +109,78 @@ def _compile_tree(nodes: pd.DataFrame, value_fn, n_out: int):
     return dict(feat=feat, lo=lo, hi=hi, z=z, w=w, vals=vals, base=base)
 
 
-def _tree_phi(t, X: np.ndarray, n_features: int) -> np.ndarray:
-    """(rows, features, outputs) Tree SHAP of one compiled tree."""
-    feat, z, w = t["feat"], t["z"], t["w"]
+def _stack(parts, n_out: int) -> dict:
+    """Stack the leaves of all trees (all classes) into one padded path table.
+
+    Each leaf value is pre-multiplied by its tree weight and placed in its
+    output column, so the model output is the plain sum over stacked leaves.
+    """
+    depth = max(t["feat"].shape[1] for trees, _ in parts for t in trees)
+    feat, lo, hi, z, w, vals = [], [], [], [], [], []
+    base = np.zeros(n_out)
+    for c, (trees, ws) in enumerate(parts):
+        for t, wt in zip(trees, ws):
+            L, d = t["feat"].shape
+            pad = depth - d
+            feat.append(np.pad(t["feat"], ((0, 0), (0, pad)), constant_values=-1))
+            lo.append(np.pad(t["lo"], ((0, 0), (0, pad)), constant_values=-np.inf))
+            hi.append(np.pad(t["hi"], ((0, 0), (0, pad)), constant_values=np.inf))
+            z.append(np.pad(t["z"], ((0, 0), (0, pad)), constant_values=1.0))
+            w.append(np.pad(t["w"], ((0, 0), (0, pad))))
+            v = np.zeros((L, n_out))
+            if t["vals"].shape[1] == n_out:
+                v[:] = wt * t["vals"]
+                base += wt * t["base"]
+            else:  # one-output tree of class c (one-vs-rest)
+                v[:, c] = wt * t["vals"][:, 0]
+                base[c] += wt * t["base"][0]
+            vals.append(v)
+    st = dict(feat=np.vstack(feat), lo=np.vstack(lo), hi=np.vstack(hi), z=np.vstack(z),
+              w=np.vstack(w), vals=np.vstack(vals), base=base)
+    flat = st["feat"].reshape(-1)
+    slots = np.nonzero(flat >= 0)[0]
+    order = np.argsort(flat[slots], kind="stable")
+    st["slot_order"] = slots[order]
+    uniq, starts = np.unique(flat[slots][order], return_index=True)
+    st["slot_feat"], st["slot_starts"] = uniq, starts
+    return st
+
+
+def _stacked_phi(st, X: np.ndarray, n_features: int) -> np.ndarray:
+    """(rows, features, outputs) Tree SHAP over all stacked leaves at once."""
+    feat, z, w = st["feat"], st["z"], st["w"]
     n_leaf, depth = feat.shape
     real = feat >= 0
-    xv = X[:, np.where(real, feat, 0)]                          # (R, L, D)
-    o = ((xv > t["lo"]) & (xv <= t["hi"]) & real).astype(float)  # pads: o = 0, z = 1
+    xv = X[:, np.where(real, feat, 0)]                               # (R, L, D)
+    o = ((xv > st["lo"]) & (xv <= st["hi"]) & real).astype(float)    # pads: o = 0, z = 1
     R = X.shape[0]
     # P(t) = prod_slots (z + o t): coefficients (R, L, D + 1)
     P = np.zeros((R, n_leaf, depth + 1))
     P[:, :, 0] = 1.0
-    for s in range(depth):
-        zs, os_ = z[None, :, s, None], o[:, :, s, None]
-        shifted = np.concatenate([np.zeros((R, n_leaf, 1)), P[:, :, :-1]], axis=2)
-        P = P * zs + shifted * os_
+    for s_ in range(depth):
+        new = P * z[None, :, s_, None]
+        new[:, :, 1:] += P[:, :, :-1] * o[:, :, s_, None]
+        P = new
     contrib = np.zeros((R, n_leaf, depth))
+    zsafe = np.where(z > 0, z, 1.0)
     for i in range(depth):
         zi, oi = z[None, :, i], o[:, :, i]
         # divide out (z_i + o_i t): o_i = 0 -> P / z_i; o_i = 1 -> synthetic division
-        Q_const = P[:, :, :depth] / np.where(zi > 0, zi, 1.0)[..., None]
-        Q_div = np.zeros((R, n_leaf, depth))
+        Q_div = np.empty((R, n_leaf, depth))
         Q_div[:, :, depth - 1] = P[:, :, depth]
         for k in range(depth - 1, 0, -1):
             Q_div[:, :, k - 1] = P[:, :, k] - zi * Q_div[:, :, k]
-        Q = np.where(oi[..., None] > 0, Q_div, Q_const)
-        total = np.sum(Q * w[None, :, :], axis=2)
+        tot_div = np.einsum("rld,ld->rl", Q_div, w)
+        tot_const = np.einsum("rld,ld->rl", P[:, :, :depth], w) / zsafe[None, :, i]
+        total = np.where(oi > 0, tot_div, tot_const)
         contrib[:, :, i] = np.where(real[None, :, i], (oi - zi) * total, 0.0)
-    onehot = np.zeros((n_leaf * depth, n_features))
-    flat = feat.reshape(-1)
-    ok = flat >= 0
-    onehot[np.arange(n_leaf * depth)[ok], flat[ok]] = 1.0
-    # phi[r, f, c] = sum_{l, d} contrib[r, l, d] * vals[l, c] * onehot[(l, d), f]
-    cv = contrib[:, :, :, None] * t["vals"][None, :, None, :]     # (R, L, D, C)
-    return np.einsum("rkc,kf->rfc", cv.reshape(R, n_leaf * depth, -1), onehot)
+    flat_c = contrib.reshape(R, n_leaf * depth)[:, st["slot_order"]]     # (R, S)
+    leaf_of_slot = st["slot_order"] // depth
+    cv = flat_c[:, :, None] * st["vals"][leaf_of_slot][None, :, :]        # (R, S, C)
+    phi = np.zeros((R, n_features, st["vals"].shape[1]))
+    if cv.shape[1]:
+        phi[:, st["slot_feat"], :] = np.add.reduceat(cv, st["slot_starts"], axis=1)
+    return phi
 
 
 def compile_model(model, spark, kind: str, n_classes: int = 3) -> dict:
@@ -152,8 +190,8 @@ def compile_model(model, spark, kind: str, n_classes: int = 3) -> dict:
     if kind == "RF":
         nodes = _node_table(spark, path)
         trees = [_compile_tree(g, "proba", n_classes) for _, g in nodes.groupby("treeID")]
-        return dict(kind=kind, parts=[(trees, [1.0 / len(trees)] * len(trees))], n_out=n_classes)
-    if kind == "XGB":  # one-vs-rest of binary GBTs: one margin per class
+        parts = [(trees, [1.0 / len(trees)] * len(trees))]
+    elif kind == "XGB":  # one-vs-rest of binary GBTs: one margin per class
         parts = []
         for c in range(n_classes):
             sub = f"{path}/model_{c}"
@@ -164,27 +202,22 @@ def compile_model(model, spark, kind: str, n_classes: int = 3) -> dict:
                 trees.append(_compile_tree(g, "value", 1))
                 ws.append(weights[int(tid)])
             parts.append((trees, ws))
-        return dict(kind=kind, parts=parts, n_out=n_classes)
-    raise ValueError(f"tree_shap supports RF and XGB models, not {kind}")
+    else:
+        raise ValueError(f"tree_shap supports RF and XGB models, not {kind}")
+    return _stack(parts, n_classes)
 
 
-def shap_matrix(compiled: dict, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phi[rows, features, classes], base[classes]) for a batch of rows."""
-    n_features = X.shape[1]
-    n_out = compiled["n_out"]
-    phi = np.zeros((X.shape[0], n_features, n_out))
-    base = np.zeros(n_out)
-    if compiled["kind"] == "RF":
-        trees, ws = compiled["parts"][0]
-        for t, wt in zip(trees, ws):
-            phi += wt * _tree_phi(t, X, n_features)
-            base += wt * t["base"]
-    else:
-        for c, (trees, ws) in enumerate(compiled["parts"]):
-            for t, wt in zip(trees, ws):
-                phi[:, :, c] += wt * _tree_phi(t, X, n_features)[:, :, 0]
-                base[c] += wt * t["base"][0]
-    return phi, base
+def shap_matrix(stacked: dict, X: np.ndarray, chunk_cells: int = 4_000_000
+                ) -> tuple[np.ndarray, np.ndarray]:
+    """(phi[rows, features, classes], base[classes]) for a batch of rows,
+    in row chunks so the (rows x leaves x depth) work arrays stay bounded."""
+    n_leaf, depth = stacked["feat"].shape
+    # identical feature vectors have identical Shapley values: compute once
+    U, inverse = np.unique(X, axis=0, return_inverse=True)
+    step = max(1, chunk_cells // max(1, n_leaf * (depth + 1)))
+    phi_u = np.concatenate([_stacked_phi(stacked, U[i:i + step], X.shape[1])
+                            for i in range(0, U.shape[0], step)], axis=0)
+    return phi_u[inverse.reshape(-1)], stacked["base"]
 
 
 def tree_shap(model, data: DataFrame, kind: str, feature_names: list[str] | None = None,
@@ -215,7 +248,11 @@ def tree_shap(model, data: DataFrame, kind: str, feature_names: list[str] | None
                 "base": np.tile(base, R * Fn),
             })
 
-    src = data.select("row", vector_to_array(features_col).alias("_x"))
+    # SHAP costs far more per row than moving a feature vector: spread the
+    # rows over at least as many tasks as there are cores
+    n = max(spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions")))
+    src = data.select("row", vector_to_array(features_col).alias("_x")).repartition(n)
     return src.mapInPandas(explain, "row long, class int, feature string, phi double, base double")
 
 

@@ -774,7 +774,7 @@ def _grid_predictions(spark, d) -> DataFrame:
         tables[("likes", "subword", mixed)] = {
             k: X.feature_table(prepared, folded, emb, "subword", fold=k, mixed=mixed) for k in range(5)}
     variants = [X.Variant("likes", fs, mixed, c) for (_, fs, mixed) in tables for c in GRID_CLASSIFIERS]
-    return X.run_grid(tables, variants, out_path=_scratch(spark, "grid"), threads=2)
+    return X.run_grid(tables, variants, out_path=_scratch(spark, "grid"), threads=4)
 
 
 @register("i6_grid_leaderboard")
