@@ -689,11 +689,12 @@ def l2_tree_shap(spark, d):
 
 @register("l3_permutation_shap")
 def l3_permutation_shap(spark, d):
-    """Sampled-permutation Shapley values of the fold-0 MLP for 50 training rows
-    against a 50-row background (the reference's settings), 1000 samples."""
+    """Sampled-permutation Shapley values of the fold-0 MLP for every training
+    row, against a 50-row background (the reference's background size),
+    1000 permutation samples per row."""
     model, train, _ = _fold_model(spark, d, "MLP", 0)
-    first = B.head_rows(train, 50, "row")
-    return XP.permutation_shap(model, first, first, len(D.STRUCTURED_FEATURES),
+    background = B.head_rows(train, 50, "row")
+    return XP.permutation_shap(model, train, background, len(D.STRUCTURED_FEATURES),
                                n_samples=1000, feature_names=D.STRUCTURED_FEATURES)
 
 
