@@ -798,8 +798,11 @@ def n1_stream_scores(spark, d):
     p = posts(spark, d)
     p.repartitionByRange(4, "post_id").write.mode("overwrite").parquet(src)
     cuts = L.cut_points(_clean_ns(spark, d))
-    out = score_stream(spark, src, cuts, cutoff_year=CUTOFF_YEAR, squeeze=False)
-    return out.select("post_id", *[f"{t}_class" for t in L.TARGETS], "tokens")
+    # a model fitted on the batch structured features scores every new post
+    model, _, _ = _fold_model(spark, d, "Ridge", 0)
+    out = score_stream(spark, src, cuts, model=model, cutoff_year=CUTOFF_YEAR, squeeze=False)
+    return out.select("post_id", *[f"{t}_class" for t in L.TARGETS], "tokens",
+                      L.decode_label(F.col("prediction")).alias("likes_predicted"))
 
 
 # ------------------------------------------------- B8 / G2 ------------------
