@@ -28,8 +28,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -313,7 +311,3 @@ def global_importance(phi: DataFrame, top: int = 15) -> DataFrame:
     rank = tot.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_t"), "feature")))
     keep = rank.where(F.col("rank") <= top).select("feature", "rank")  # one row per feature
     return per.join(F.broadcast(keep), "feature").select("rank", "feature", "class", "mean_abs_phi")
-
-
-def union_all(frames):
-    return reduce(DataFrame.unionByName, frames)

@@ -12,8 +12,6 @@ responses at scale use ``method="approx"`` (``percentile_approx``).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +132,3 @@ def box_stats(df: DataFrame, targets=TARGETS, by: str = "year") -> DataFrame:
 def distinct_values(df: DataFrame, col: str = "year") -> DataFrame:
     """Distinct values of a column."""
     return df.select(col).distinct()
-
-
-def union_all(frames):
-    return reduce(DataFrame.unionByName, frames)
