@@ -1,9 +1,9 @@
 """Session helpers.
 
-The library never creates machine-local scratch folders on its own: lineage is
-cut with ``DataFrame.checkpoint()`` into the shared folder the cluster names in
-``spark.checkpoint.dir``.  Only when that setting is missing (local tests) do
-we set one, under a caller-supplied or freshly created temp folder.
+Lineage is cut with ``DataFrame.checkpoint()`` or written tables in the shared
+folder the cluster names in ``spark.checkpoint.dir``.  Only when that setting
+is missing and the master is local (tests) do we set a temp folder; on a
+cluster without the setting we raise.
 """
 
 from __future__ import annotations
@@ -49,22 +49,24 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder, setting one only when unset.
 
     ``spark.checkpoint.dir`` is read from the session (the cluster config names
-    a shared, fault-tolerant folder there).  When it is unset -- tests, local
-    runs -- we set ``fallback`` or a fresh temp folder.
+    a shared, fault-tolerant folder there).  When it is unset we set
+    ``fallback``, or a fresh temp folder if the master is ``local``; on a
+    cluster a machine-local folder would lose data, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or fallback or tempfile.mkdtemp(prefix="postresp-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="postresp-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for intermediate tables."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, name)
+    """A sub-folder of the shared checkpoint folder for intermediate tables,
+    with the folder's own scheme (``hdfs:``, ``s3a:``, ``file:``, ...)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
