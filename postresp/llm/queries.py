@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postresp.llm.bpe import bpe_encode
 from postresp.llm.common import table
 from postresp.llm.token_counts import token_counts
 
@@ -23,8 +24,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(table(spark, sf_dir, "documents"), "word_bpe_49k.json",
+                      outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE: dict[str, str] = {}
