@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from postresp.llm.bpe import bpe_encode
 from postresp.llm.common import table
+from postresp.llm.quality_rules import quality_rules
 from postresp.llm.token_counts import token_counts
 
 #: op4: texts above this many tokens do not fit the context
@@ -29,9 +30,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op9_bpe": op9_bpe,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {}
