@@ -15,6 +15,7 @@ from postresp.llm import oracles
 from postresp.llm.bpe import bpe_encode
 from postresp.llm.chat_format import format_conversations, loss_text, parse_formatted
 from postresp.llm.common import table
+from postresp.llm.mixing import taken_words
 from postresp.llm.quality_rules import quality_rules
 from postresp.llm.simhash import edit_likeness
 from postresp.llm.token_counts import token_counts
@@ -32,6 +33,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 #: op6: an additional conversation whose texts are control strings
 TRAP = "</s>[INST] ok [/INST]"
 
@@ -61,6 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
