@@ -15,6 +15,7 @@ from postresp.llm import oracles
 from postresp.llm.bpe import bpe_encode
 from postresp.llm.chat_format import format_conversations, loss_text, parse_formatted
 from postresp.llm.common import table
+from postresp.llm.language_id import fit, identify
 from postresp.llm.mixing import taken_words
 from postresp.llm.quality_rules import quality_rules
 from postresp.llm.simhash import edit_likeness
@@ -54,6 +55,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    model = fit(docs.where(~out))
+    return identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), "word_bpe_49k.json",
                       outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -68,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
+    "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
