@@ -17,6 +17,7 @@ from postresp.llm.chat_format import format_conversations, loss_text, parse_form
 from postresp.llm.common import table
 from postresp.llm.language_id import fit, identify
 from postresp.llm.mixing import taken_words
+from postresp.llm.near_dup import near_duplicates
 from postresp.llm.quality_rules import quality_rules
 from postresp.llm.simhash import edit_likeness
 from postresp.llm.token_counts import token_counts
@@ -55,6 +56,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
