@@ -20,6 +20,7 @@ from postresp.llm.mixing import taken_words
 from postresp.llm.near_dup import near_duplicates
 from postresp.llm.quality_rules import quality_rules
 from postresp.llm.simhash import edit_likeness
+from postresp.llm.suffix_dedup import dedup_digests
 from postresp.llm.token_counts import token_counts
 
 #: op4: texts above this many tokens do not fit the context
@@ -31,6 +32,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
