@@ -183,7 +183,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     begin = F.greatest(F.col("block") * mix.block, F.col("start"))
     end = F.least((F.col("block") + 1) * mix.block, F.col("start") + F.col("size"))
     parts = parts.select("number", "block", "start", "doc_id", "content", (begin - F.col("start")).alias("from_word"), (end - begin).alias("n_words"))
-    mixed = _draws(spark, sizes, wanted, mix).join(parts, ["number", "block"])
+    # both sides grow with the input, and the draws' size is not known before they are made: never broadcast
+    mixed = _draws(spark, sizes, wanted, mix).hint("merge").join(parts, ["number", "block"])
     return mixed.select("shard", "slot", "number", "block", "start", "doc_id", "content", "from_word", "n_words"), placed
 
 
