@@ -258,18 +258,18 @@ def tree_shap(model, data: DataFrame, kind: str, feature_names: list[str] | None
 def permutation_shap(model, explain_rows: DataFrame, background: DataFrame, n_features: int,
                      n_samples: int = 1000, seed: int = 13, features_col: str = "features",
                      output_col: str = "probability", n_classes: int = 3,
-                     feature_names: list[str] | None = None) -> DataFrame:
+                     feature_names: list[str] | None = None, max_background: int = 10_000) -> DataFrame:
     """L3: sampled-permutation Shapley values of ``model`` for ``explain_rows``.
 
     For sample j of row r: a seeded random permutation of the features and a
     background row; step k takes the first k permuted features from the row,
     the rest from the background; ``phi`` of the k-th feature is the mean
     change of the output when it is switched in.  ``background`` should be
-    small (the reference uses 50 rows); it is broadcast after a size check.
+    small: it is broadcast, after a check against ``max_background`` rows.
     """
     n_bg = background.count()
-    if n_bg > 10000:
-        raise ValueError("background set larger than 10000 rows; sample it first")
+    if n_bg > max_background:
+        raise ValueError(f"background set larger than {max_background} rows; sample it first")
     bg = (background.select(vector_to_array(features_col).alias("_b"))
           .withColumn("_bid", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1))
     d = n_features
@@ -290,14 +290,15 @@ def permutation_shap(model, explain_rows: DataFrame, background: DataFrame, n_fe
     from pyspark.ml.functions import array_to_vector
     ev = steps.withColumn(features_col, array_to_vector(mixed))
     out = model.transform(ev).withColumn("_out", vector_to_array(output_col))
-    w = Window.partitionBy("row", "_s").orderBy("_k")
-    diffs = (out.select("row", "_s", "_k", "_perm", "_out")
-             .withColumn("_prev", F.lag("_out").over(w))
-             .where(F.col("_k") > 0)
-             .withColumn("feature_idx", F.col("_perm")[F.col("_k") - 1]))
-    per_class = diffs.select("row", "feature_idx", F.posexplode(
-        F.zip_with("_out", "_prev", lambda a, b: a - b)).alias("class", "delta"))
-    phi = per_class.groupBy("row", "class", "feature_idx").agg(F.avg("delta").alias("phi"))
+    # each point's output counts for the feature it switched in and against the
+    # one the next point switches in: one sum, no order needed
+    signed = out.select("row", "_out", F.explode(F.array(
+        F.struct(F.when(F.col("_k") > 0, F.get("_perm", F.col("_k") - 1)).alias("feature_idx"), F.lit(1.0).alias("sign")),
+        F.struct(F.when(F.col("_k") < d, F.get("_perm", F.col("_k"))).alias("feature_idx"), F.lit(-1.0).alias("sign")))).alias("e"))
+    signed = signed.select("row", "_out", "e.*").where("feature_idx IS NOT NULL")
+    per_class = signed.select("row", "feature_idx", F.posexplode(
+        F.transform("_out", lambda o: o * F.col("sign"))).alias("class", "delta"))
+    phi = per_class.groupBy("row", "class", "feature_idx").agg((F.sum("delta") / n_samples).alias("phi"))
     names = feature_names or [f"f{j}" for j in range(d)]
     fmap = F.create_map(*[x for j, n in enumerate(names) for x in (F.lit(j), F.lit(n))])
     return phi.select("row", F.col("class").cast("int").alias("class"),
@@ -308,6 +309,6 @@ def global_importance(phi: DataFrame, top: int = 15) -> DataFrame:
     """L4: mean |phi| per (feature, class) for the ``top`` features by total."""
     per = phi.groupBy("feature", "class").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))
     tot = per.groupBy("feature").agg(F.sum("mean_abs_phi").alias("_t"))
-    rank = tot.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_t"), "feature")))
+    rank = tot.withColumn("rank", F.row_number().over(Window.orderBy(F.round("_t", 9).desc(), "feature")))
     keep = rank.where(F.col("rank") <= top).select("feature", "rank")  # one row per feature
     return per.join(F.broadcast(keep), "feature").select("rank", "feature", "class", "mean_abs_phi")

@@ -5,8 +5,9 @@ Exact numbering without a global window (SURVEY §7.3)
 ``row_number().over(Window.orderBy(k))`` moves every row into one task.  We
 instead range-partition on the order key (balanced, sampled bounds), sort
 within partitions, tag each row with ``monotonically_increasing_id`` (which
-encodes partition id and in-partition ordinal) and materialise that with a
-reliable ``checkpoint()`` so a re-run can never see different range bounds.
+encodes partition id and in-partition ordinal) and write that as Parquet to the
+shared folder: a re-run can never see different range bounds, and later reads
+take only the columns they need.
 The per-partition counts (one row per partition, a bounded table) give
 running offsets, which are broadcast back.  Result = the plain window.
 """
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postresp.session import checkpoint_dir
+from postresp.session import stored
 
 _ORDINAL_BITS = 33
 _ORDINAL_MASK = (1 << _ORDINAL_BITS) - 1
@@ -38,13 +39,10 @@ def row_number_exact(df: DataFrame, order_by, name: str = "row",
     Two passes over the data plus one range exchange; no single-task window.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _cols(order_by)
-    tagged = (df.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                    .withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     pid = F.shiftright(F.col("_mid"), _ORDINAL_BITS)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a global window over it is bounded by `n`
@@ -56,32 +54,30 @@ def row_number_exact(df: DataFrame, order_by, name: str = "row",
     return out.drop("_mid", "_pid", "_off")
 
 
-def number_by_key(df: DataFrame, key: str, name: str = "row", **kw) -> DataFrame:
-    """B3 for a unique ``key``: number the narrow key column, join the rows back.
-
-    Only the key goes through the range exchange and the checkpoint; the wide
-    rows are shuffled once by the join instead of being written to the
-    checkpoint folder.  Use it when ``df`` is cheap to recompute (e.g. already
-    materialised); for an expensive lineage number the wide table instead,
-    whose checkpoint then also cuts that lineage.
-    """
-    keys = row_number_exact(df.select(key), key, name=name, **kw)
-    return df.join(keys, key)
-
-
 def rank_within(df: DataFrame, group_by, order_by, name: str = "rank") -> DataFrame:
     """0-based row number inside each group, ordered by ``order_by``.
 
-    Global exact numbering over (group, order) minus each group's first
-    number; the group-start table has one row per group and is joined back
-    (AQE broadcasts it when small).  No window partitioned by a hot group.
+    Rows are range-partitioned by (group, order), so a large group is many
+    partitions; a row's rank is its place in its partition's part of the group
+    plus the group's rows in earlier partitions.  The counts have one row per
+    partition and group; they are attached by (partition, group), where no key
+    holds more than a partition, and broadcast by Spark if they are small.
     """
     gnames = [group_by] if isinstance(group_by, str) else list(group_by)
-    numbered = row_number_exact(df, _cols(gnames) + _cols(order_by), name="_g_rn")
-    starts = numbered.groupBy(*gnames).agg(F.min("_g_rn").alias("_g_start"))
-    return (numbered.join(starts, gnames)
-            .withColumn(name, F.col("_g_rn") - F.col("_g_start"))
-            .drop("_g_rn", "_g_start"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = _cols(gnames) + _cols(order_by)
+    tagged = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                    .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
+    tagged = tagged.withColumn("_pid", F.shiftright("_mid", _ORDINAL_BITS))
+    counts = tagged.groupBy("_pid", *gnames).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    earlier = Window.partitionBy(*gnames).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_pid", *[F.col(g).alias(f"_s_{g}") for g in gnames], "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = (tagged["_pid"] == starts["_pid"])
+    for g in gnames:
+        same = same & tagged[g].eqNullSafe(starts[f"_s_{g}"])
+    return (tagged.join(starts, same).withColumn(name, F.col("_mid") - F.col("_first") + F.col("_before"))
+            .select(*df.columns, name))
 
 
 def ntile_index(rank0: Column, n: Column, k: int) -> Column:

@@ -1,8 +1,7 @@
 """Quantile cut points, class labels and box-plot statistics.
 
 Cut points are one global aggregate (partial per task, merged once); the
-resulting one-row table is attached by a broadcast equi-join on a constant key
-(its size is one row by construction) or, for streams, frozen into literals.
+resulting row is read by a scalar subquery or, for streams, frozen into literals.
 
 ``method="exact"`` uses ``percentile`` (linear interpolation, equal to pandas
 ``quantile`` and DuckDB ``quantile_cont``); its buffer holds one entry per
@@ -59,22 +58,19 @@ def add_labels(df: DataFrame, targets=TARGETS, cuts: DataFrame | None = None,
     """E1+E2: attach ``{target}{suffix}`` labels; cuts default to all rows of ``df``.
 
     Pass ``cuts`` computed on training rows only for ``fit_on="train"``.
-    The cut table has exactly one row.  In a batch plan it is attached by a
-    broadcast join on a constant key, so cut points and labels are one query
-    and the shuffle that produced ``df`` is reused by both.  ``frozen=True``
-    fetches the row once and uses its values as literals (streams: the cut
-    points must not change between micro-batches).
+    The cut table has exactly one row and enters the batch plan as a scalar
+    subquery: no join, and a reader that needs no label pays for none.
+    ``frozen=True`` fetches the row once and uses its values as literals
+    (streams: the cut points must not change between micro-batches).
     """
     cuts = cuts if cuts is not None else cut_points(df, targets, **kw)
     if frozen:
         c = cuts.first().asDict()
         bounds = {t: (F.lit(c[f"{t}_q1"]), F.lit(c[f"{t}_q2"])) for t in targets}
-        base = df
     else:
-        one = F.lit(0).alias("_one")
-        base = df.select("*", one).join(F.broadcast(cuts.select("*", one)), "_one")
-        bounds = {t: (F.col(f"{t}_q1"), F.col(f"{t}_q2")) for t in targets}
-    return base.select(
+        row = cuts.select(F.struct("*").alias("cuts")).scalar()
+        bounds = {t: (row[f"{t}_q1"], row[f"{t}_q2"]) for t in targets}
+    return df.select(
         *df.columns,
         *[label_column(F.col(t), *bounds[t]).alias(f"{t}{suffix}") for t in targets])
 

@@ -19,20 +19,26 @@ def confusion(pred: DataFrame, by=("variant",)) -> DataFrame:
 
 
 def micro_f1(pred: DataFrame, by=("variant",), digits: int | None = 3) -> DataFrame:
-    """Micro F1 = accuracy for single-label predictions, pooled over folds."""
-    f1 = F.avg((F.col("truth") == F.col("prediction")).cast("double"))
+    """Micro F1 = accuracy for single-label predictions, pooled over folds.
+
+    A missing truth or prediction is a miss, not a row less."""
+    f1 = F.avg(F.coalesce(F.col("truth") == F.col("prediction"), F.lit(False)).cast("double"))
     if digits is not None:
         f1 = F.round(f1, digits)
     return pred.groupBy(*by).agg(f1.alias("f1"))
 
 
 def _class_totals(conf: DataFrame, by) -> DataFrame:
-    t = conf.groupBy(*by, F.col("truth").alias("cls")).agg(F.sum("n").alias("t"))
-    p = conf.groupBy(*by, F.col("prediction").alias("cls")).agg(F.sum("n").alias("p"))
-    d = (conf.where(F.col("truth") == F.col("prediction"))
-         .groupBy(*by, F.col("truth").alias("cls")).agg(F.sum("n").alias("tp")))
-    return (t.join(p, [*by, "cls"], "full").join(d, [*by, "cls"], "left")
-            .fillna(0, subset=["t", "p", "tp"]))
+    """``(*by, cls, t, p, tp)``: support, predictions and hits of each class as
+    doubles (products of counts overflow a long); one pass, one aggregate.  A
+    null class is a class of its own that never hits."""
+    n, zero = F.col("n").cast("double"), F.lit(0.0)
+    hit = F.when(F.col("truth") == F.col("prediction"), n).otherwise(zero)
+    entry = F.explode(F.array(
+        F.struct(F.col("truth").alias("cls"), n.alias("t"), zero.alias("p"), hit.alias("tp")),
+        F.struct(F.col("prediction").alias("cls"), zero.alias("t"), n.alias("p"), zero.alias("tp"))))
+    long = conf.select(*by, entry.alias("e")).select(*by, "e.*")
+    return long.groupBy(*by, "cls").agg(*[F.sum(c).alias(c) for c in ("t", "p", "tp")])
 
 
 def mcc(pred: DataFrame, by=("variant",), digits: int | None = 3,
@@ -45,10 +51,8 @@ def mcc(pred: DataFrame, by=("variant",), digits: int | None = 3,
     conf = conf if conf is not None else confusion(pred, by)
     tot = _class_totals(conf, by)
     a = tot.groupBy(*by).agg(
-        F.sum("tp").cast("double").alias("c"), F.sum("t").cast("double").alias("s"),
-        F.sum(F.col("p") * F.col("t")).cast("double").alias("pt"),
-        F.sum(F.col("p") * F.col("p")).cast("double").alias("pp"),
-        F.sum(F.col("t") * F.col("t")).cast("double").alias("tt"))
+        F.sum("tp").alias("c"), F.sum("t").alias("s"), F.sum(F.col("p") * F.col("t")).alias("pt"),
+        F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("t") * F.col("t")).alias("tt"))
     den = F.sqrt((F.col("s") * F.col("s") - F.col("pp")) * (F.col("s") * F.col("s") - F.col("tt")))
     val = F.when(den == 0, F.lit(0.0)).otherwise(
         (F.col("c") * F.col("s") - F.col("pt")) / den)

@@ -12,6 +12,7 @@ golden literals in the tests and by the unchecked full-pipeline queries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from postresp.operators import labels as L
 from postresp.operators.clean import after_year, clean_posts, dedup_first
 from postresp.plans import oracle_sql as O
 from postresp.plans.prepare import CUTOFF_YEAR, cleaned_posts, prepare_posts
+from postresp.session import scratch_path
+from postresp.sources import io as A
 from postresp.sources.posts import POST_COLUMNS, posts, read_table, with_posts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +56,10 @@ _NO_TS = [c for c in POST_COLUMNS if c != "ts"]
 
 @register("a1_posts", with_posts("SELECT * EXCLUDE (ts) FROM posts"))
 def a1_posts(spark, d):
-    return posts(spark, d).select(*_NO_TS)
+    """Posts written as delimited text and read back through the declared schema."""
+    path = scratch_path(spark, f"io/posts-{uuid.uuid4().hex}")
+    A.write_table(posts(spark, d), path, fmt="csv")
+    return A.read_posts(spark, path, fmt="csv").select(*_NO_TS)
 
 
 @register("b1_after_year", with_posts(
@@ -425,12 +431,11 @@ VARIANT_NAMES = [f"{t}_from_{s}" for t, s in CROSS_VARIANTS]
 
 
 def cross_target_predictions(spark, d) -> DataFrame:
-    f = _folded(spark, d)
-    parts = [f.select(F.lit(f"{t}_from_{s}").alias("variant"), F.lit(t).alias("target"),
-                      F.lit(s).alias("feature_set"), F.lit("label").alias("classifier"),
-                      "fold", "row", F.col(t).alias("truth"), F.col(s).alias("prediction"))
-             for t, s in CROSS_VARIANTS]
-    return B.stack_runs(parts)
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(f"{t}_from_{s}").alias("variant"), F.lit(t).alias("target"), F.lit(s).alias("feature_set"),
+                 F.col(t).alias("truth"), F.col(s).alias("prediction")) for t, s in CROSS_VARIANTS]))
+    return _folded(spark, d).select("fold", "row", pairs.alias("p")).select(
+        "p.variant", "p.target", "p.feature_set", F.lit("label").alias("classifier"), "fold", "row", "p.truth", "p.prediction")
 
 
 _PREDS_CTE = "preds AS (" + " UNION ALL ".join(
@@ -578,8 +583,9 @@ from postresp.operators import experiment as X  # noqa: E402
 QUERY_GBT_ROUNDS = 10
 
 
-def _splits(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    prepared = _prepared_ns(spark, d)
+def _splits(spark, d, squeeze: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Prepared posts, folds and splits; the SQL-checked queries leave out squeezing."""
+    prepared = prepare_posts(posts(spark, d), squeeze=squeeze)
     folded = S.assign_folds(prepared.select("row"))
     return prepared, folded, S.split_table(folded)
 
@@ -606,7 +612,7 @@ def h2_subword_fold0(spark, d):
 @register("h3_batch_embed")
 def h3_batch_embed(spark, d):
     """Arrow-batched inference (32 texts per call) with the hashing stand-in model."""
-    prepared = _prepared_ns(spark, d)
+    prepared = prepare_posts(posts(spark, d))
     e = H.batch_embed(prepared.select("row", "sentence"))
     return e.select("row", F.size("embedding").alias("dim"),
                     F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("sum"))
@@ -704,15 +710,24 @@ def l4_global_importance(spark, d):
     return XP.global_importance(l2_tree_shap(spark, d), 15)
 
 
-# ------------------------------------------------- sources / sinks: A -------
-import uuid as _uuid  # noqa: E402
-
-from postresp.session import scratch_path  # noqa: E402
-from postresp.sources import io as A  # noqa: E402
+@register("l4_importance_of_embeddings", """
+WITH phi AS (SELECT vec_id AS row, CAST(label % 3 AS INTEGER) AS class, 'f' || CAST(j AS VARCHAR) AS feature, CAST(embedding[j + 1] AS DOUBLE) AS phi
+             FROM embeddings, range(20) AS r(j)),
+per AS (SELECT feature, class, avg(abs(phi)) AS m FROM phi GROUP BY ALL),
+tot AS (SELECT feature, row_number() OVER (ORDER BY round(sum(m), 9) DESC, feature) AS rank FROM per GROUP BY feature)
+SELECT CAST(tot.rank AS INTEGER) AS rank, feature, class, round(m, 6) AS mean_abs_phi FROM per JOIN tot USING (feature) WHERE tot.rank <= 15""")
+def l4_importance_of_embeddings(spark, d):
+    """Global importance of a phi table made of the embeddings' first 20 values."""
+    e = read_table(spark, d, "embeddings")
+    phi = e.select(F.col("vec_id").alias("row"), (F.col("label") % 3).cast("int").alias("class"),
+                   F.posexplode(F.slice("embedding", 1, 20)).alias("j", "phi"))
+    phi = phi.select("row", "class", F.concat(F.lit("f"), F.col("j").cast("string")).alias("feature"), F.col("phi").cast("double").alias("phi"))
+    return XP.global_importance(phi, 15).withColumn("mean_abs_phi", F.round("mean_abs_phi", 6))
 
 
+# ------------------------------------------------- sources / sinks: A -------
 def _scratch(spark, name: str) -> str:
-    return scratch_path(spark, f"io/{name}/{_uuid.uuid4().hex}")
+    return scratch_path(spark, f"io/{name}/{uuid.uuid4().hex}")
 
 
 @register("a3_prepared_readback", _prep_sql("SELECT * FROM prepared"))
@@ -726,15 +741,36 @@ _TARGETS_VALUES = "(VALUES " + ", ".join(f"('{t}')" for t in L.TARGETS) + ") AS
 
 
 @register("a4_split_files_readback", _prep_sql(
-    f"SELECT tg.target, fold, split, count(*) AS n_rows FROM splits CROSS JOIN {_TARGETS_VALUES} "
-    "GROUP BY tg.target, fold, split", _FOLDS_CTE, _SPLITS_CTE))
+    "SELECT tg.target, s.fold, s.split, s.row, '__label__' || CASE tg.target WHEN 'replies' THEN p.replies "
+    "WHEN 'likes' THEN p.likes ELSE p.retweets END AS label, md5(p.sentence) AS h "
+    f"FROM splits s JOIN prepared p USING (row) CROSS JOIN {_TARGETS_VALUES}", _FOLDS_CTE, _SPLITS_CTE))
 def a4_split_files_readback(spark, d):
-    prepared, _, splits = _splits(spark, d)
+    """Split files written and read back, text for text."""
+    prepared, _, splits = _splits(spark, d, squeeze=False)
     path = _scratch(spark, "splits")
     A.write_split_files(prepared, splits, path)
     back = A.read_split_files(spark, path)
-    return back.groupBy("target", F.col("fold").cast("int").alias("fold"), "split") \
-        .agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
+    return back.select("target", F.col("fold").cast("int").alias("fold"), "split", "row", "label", F.md5("sentence").alias("h"))
+
+
+def _driver_embeddings(spark, d) -> DataFrame:
+    """The embeddings table as two embedding sets, by parity of the label."""
+    return read_table(spark, d, "embeddings").select(
+        F.lit("any").alias("target"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("feature_set"),
+        F.floor(F.col("label") / 2).cast("int").alias("fold"), F.col("vec_id").alias("row"), "embedding")
+
+
+@register("a2_a5_embedding_sets", """
+SELECT 'any' AS target, 'odd' AS feature_set, CAST(label // 2 AS INTEGER) AS fold, vec_id AS row, CAST(len(embedding) AS INTEGER) AS dim,
+       round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total
+FROM embeddings WHERE label % 2 = 1""")
+def a2_a5_embedding_sets(spark, d):
+    """Embedding sets written partitioned; one set read back (pruned)."""
+    path = _scratch(spark, "embedding-sets")
+    A.write_embeddings(_driver_embeddings(spark, d), path)
+    back = A.read_embedding_set(spark, path, "odd")
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return back.select("target", "feature_set", "fold", "row", F.size("embedding").alias("dim"), F.round(total, 4).alias("total"))
 
 
 @register("a2_a5_embeddings_readback")
@@ -742,25 +778,39 @@ def a2_a5_embeddings_readback(spark, d):
     """Write the subword embedding table partitioned, read one set back (pruned)."""
     prepared, _, splits = _splits(spark, d)
     path = _scratch(spark, "embeddings")
-    A.write_embeddings(H.fold_embeddings(prepared, splits, "subword", folds=[0, 1]), path)
-    return _vec_summary(A.read_embedding_set(spark, path, "subword", fold=1))
+    A.write_embeddings(H.fold_embeddings(prepared, splits, "subword"), path)
+    return _vec_summary(A.read_embedding_set(spark, path, "subword"))
 
 
 @register("a6_a7_results_readback")
 def a6_a7_results_readback(spark, d):
-    """Write ridge out-of-fold predictions, read them back, score per variant."""
+    """Write ridge out-of-fold predictions and their scores, read the scores back."""
     path = _scratch(spark, "results")
-    A.write_results(_oof(spark, d, "Ridge"), path)
-    back = A.read_results(spark, path, mixed=False)
-    return J.micro_f1(back).join(J.mcc(back), "variant")
+    A.write_results(_oof(spark, d, "Ridge"), f"{path}/predictions", f"{path}/wide", f"{path}/scores")
+    return A.read_results(spark, f"{path}/scores")
+
+
+@register("a7_results_side_by_side", _metric_sql(
+    "SELECT variant, fold, row, truth, prediction FROM preds WHERE NOT contains(variant, '_from_replies')"))
+def a7_results_side_by_side(spark, d):
+    """Two runs' predictions written, read back as one table, one kind kept."""
+    path = _scratch(spark, "runs")
+    p = cross_target_predictions(spark, d).withColumn("mixed", ~F.col("variant").contains("_from_replies"))
+    A.write_results(p, path, f"{path}-wide")
+    return A.read_results(spark, path, mixed=True).select("variant", "fold", "row", "truth", "prediction")
 
 
 @register("a8_report_readback")
 def a8_report_readback(spark, d):
+    """Normality, ANOVA and Tukey HSD written as one report and read back, long."""
     path = _scratch(spark, "report")
     obs = _melted(spark, d)
-    A.write_report(path, anova=K.anova_oneway(obs), tukey=K.tukey_pairs(obs))
-    return spark.read.json(f"{path}/anova")
+    A.write_report(path, normality=K.normality(obs), anova=K.anova_oneway(obs), tukey=K.tukey_hsd(obs))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    normal = spark.read.json(f"{path}/normality").select(F.lit("normality").alias("part"), F.col("treatments").alias("name"), number("W").alias("value"), number("pval").alias("p"))
+    anova = spark.read.json(f"{path}/anova").select(F.lit("anova").alias("part"), F.col("source").alias("name"), number("sum_sq").alias("value"), number("p_value").alias("p"))
+    tukey = spark.read.json(f"{path}/tukey").select(F.lit("tukey").alias("part"), F.concat_ws(" - ", "group1", "group2").alias("name"), number("meandiff").alias("value"), number("p_adj").alias("p"))
+    return normal.unionByName(anova).unionByName(tukey)
 
 
 # ------------------------------------------------- grid: I6 -----------------
@@ -797,10 +847,11 @@ def n1_stream_scores(spark, d):
     src = _scratch(spark, "stream-src")
     p = posts(spark, d)
     p.repartitionByRange(4, "post_id").write.mode("overwrite").parquet(src)
-    cuts = L.cut_points(_clean_ns(spark, d))
+    cuts = L.cut_points(cleaned_posts(p))
     # a model fitted on the batch structured features scores every new post
     model, _, _ = _fold_model(spark, d, "Ridge", 0)
-    out = score_stream(spark, src, cuts, model=model, cutoff_year=CUTOFF_YEAR, squeeze=False)
+    # the posts span seven years and come in no order of time
+    out = score_stream(spark, src, _scratch(spark, "stream-out"), cuts, "3650 days", model=model, cutoff_year=CUTOFF_YEAR)
     return out.select("post_id", *[f"{t}_class" for t in L.TARGETS], "tokens",
                       L.decode_label(F.col("prediction")).alias("likes_predicted"))
 

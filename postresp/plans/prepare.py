@@ -1,18 +1,17 @@
 """Entry 1 -- prepare posts: filter, clean, dedup, label, number.
 
-One lazy plan; jobs run at the cut-point aggregate, the numbering checkpoint
-and the final action.
+One lazy plan; jobs run at the cut-point aggregate, the numbering's written
+table and the final action.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postresp.operators.clean import after_year, clean_posts
 from postresp.operators.frame import row_number_exact
 from postresp.operators.labels import TARGETS, add_labels
-from postresp.sources.posts import posts
 
 SIDE_COLUMNS = ["has_media", "hashtags", "is_replied", "is_reply_to", "links", "reply_to_users",
                 "timestamp_epochs", "year", "month", "day"]
@@ -36,14 +35,11 @@ def prepare_posts(df: DataFrame, cutoff_year: int = CUTOFF_YEAR, targets=TARGETS
         labelled = add_labels(clean, targets, method=quantile_method)
         return labelled.select(*[F.col(f"{t}_class").alias(t) for t in targets],
                                F.col("text").alias("sentence"), "post_id", "tokens", *SIDE_COLUMNS)
-    # The cleaned table is numbered and checkpointed as a whole: the checkpoint
-    # is the written prepared table, so the regex-heavy cleaning runs once; cut
-    # points are then computed from it and labels added as a projection.
+    # The cleaned table is numbered and written as a whole (Parquet, so readers
+    # prune it): the regex-heavy cleaning runs once; cut points are computed
+    # from it and labels added as a projection.
     numbered = row_number_exact(clean, "post_id", name="row")
     labelled = add_labels(numbered, targets, method=quantile_method)
     return labelled.select(*[F.col(f"{t}_class").alias(t) for t in targets],
                            F.col("text").alias("sentence"), "row", "post_id", "tokens", *SIDE_COLUMNS)
 
-
-def prepare_from_tables(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    return prepare_posts(posts(spark, sf_dir), **kw)

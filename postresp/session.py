@@ -8,10 +8,10 @@ cluster without the setting we raise.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -70,3 +70,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for intermediate tables,
     with the folder's own scheme (``hdfs:``, ``s3a:``, ``file:``, ...)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: cuts
+    the lineage, survives lost executors, and can be pruned and filtered."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,13 +7,12 @@ split / variant) and push filters into the scan.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postresp.operators.labels import TARGETS
+from postresp.operators.metrics import mcc, micro_f1
 
 POSTS_SCHEMA = T.StructType([
     T.StructField("post_id", T.LongType()),
@@ -35,14 +34,20 @@ POSTS_SCHEMA = T.StructType([
 ])
 
 
+#: text that survives a round trip: every field quoted, quotes doubled, blanks and
+#: carriage returns kept, null (nothing) told from empty (two quotes)
+_EXACT = {"quote": '"', "escape": '"', "lineSep": "\n", "emptyValue": "", "nullValue": "\x00",
+          "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_READ, _WRITE = _EXACT | {"multiLine": True}, _EXACT | {"quoteAll": True}
+
+
 def read_posts(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType = POSTS_SCHEMA, sep: str = ",") -> DataFrame:
     """A1: posts from Parquet or delimited text with a header; schema declared, not inferred."""
     if fmt == "parquet":
         return spark.read.schema(schema).parquet(path)
     if fmt == "csv":
-        return (spark.read.schema(schema).option("header", True).option("sep", sep)
-                .option("multiLine", True).option("escape", '"').csv(path))
+        return spark.read.schema(schema).options(**_READ, header=True, sep=sep).csv(path)
     raise ValueError(fmt)
 
 
@@ -55,31 +60,30 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     if fmt == "parquet":
         w.parquet(path)
     elif fmt == "csv":
-        w.option("header", True).option("escape", '"').csv(path)
+        w.options(**_WRITE, header=True).csv(path)
     else:
         raise ValueError(fmt)
 
 
 def split_files(prepared: DataFrame, splits: DataFrame, targets=TARGETS) -> DataFrame:
     """Long ``(target, fold, split, label, sentence, row)`` for text-model training files."""
-    parts = [prepared.select(F.lit(t).alias("target"), "row",
-                             F.concat(F.lit("__label__"), F.col(t)).alias("label"), "sentence")
-             for t in targets]
-    return reduce(DataFrame.unionByName, parts).join(splits, "row") \
-        .select("target", "fold", "split", "label", "sentence", "row")
+    labels = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.concat(F.lit("__label__"), F.col(t)).alias("label"))
+                                 for t in targets]))
+    return (splits.join(prepared.select("row", "sentence", *targets), "row")
+            .select("row", "fold", "split", "sentence", labels.alias("l"))
+            .select("l.target", "fold", "split", "l.label", "sentence", "row"))
 
 
 def write_split_files(prepared: DataFrame, splits: DataFrame, path: str, targets=TARGETS) -> None:
     """A4: tab-separated train / val / test files per target and fold, no header."""
     (split_files(prepared, splits, targets).write.mode("overwrite")
      .partitionBy("target", "fold", "split")
-     .option("sep", "\t").option("header", False).option("escape", '"').csv(path))
+     .options(**_WRITE, sep="\t", header=False).csv(path))
 
 
 def read_split_files(spark: SparkSession, path: str) -> DataFrame:
     schema = "label string, sentence string, row long"
-    return (spark.read.schema(schema).option("sep", "\t").option("header", False)
-            .option("escape", '"').option("basePath", path).csv(path))
+    return spark.read.schema(schema).options(**_READ, sep="\t", header=False, basePath=path).csv(path)
 
 
 def write_embeddings(emb: DataFrame, path: str) -> None:
@@ -100,9 +104,13 @@ def read_embedding_set(spark: SparkSession, path: str, feature_set: str | None =
     return df
 
 
-def write_results(pred: DataFrame, path: str, pivot_csv: str | None = None) -> None:
-    """Long predictions partitioned by variant; optional wide CSV per variant."""
+def write_results(pred: DataFrame, path: str, pivot_csv: str | None = None, scores: str | None = None) -> None:
+    """Long predictions partitioned by variant; optionally the scores
+    ``(variant, metric, value)`` and a wide CSV with one column per variant."""
     write_table(pred, path, partition_by=["variant"])
+    if scores:
+        both = micro_f1(pred).join(mcc(pred), "variant").unpivot("variant", ["f1", "mcc"], "metric", "value")
+        write_table(both, scores)
     if pivot_csv:
         wide = pred.groupBy("fold", "row").pivot("variant").agg(F.first("prediction"))
         write_table(wide, pivot_csv, fmt="csv")
@@ -117,4 +125,4 @@ def read_results(spark: SparkSession, path: str, mixed: bool | None = None) -> D
 def write_report(path: str, **tables: DataFrame) -> None:
     """One JSON dataset per test table (normality, anova, tukey ...)."""
     for name, df in tables.items():
-        df.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")

@@ -39,8 +39,11 @@ def test_batch_embed_stand_in(spark):
     assert out[1] == out[2] and out[1] != out[3] and len(out[3]) == 8
 
 
+ODD = ["one\rtwo words", " _URL hello ", 'say "hi"', "tab\there", "two\nlines", "a,b;c", "\\ back", "\r\n", "é漢 …", "''", "#"]
+
+
 def test_split_files_round_trip(spark):
-    prepared = spark.createDataFrame([(i, f"text\\t{i}", "small") for i in range(50)],
+    prepared = spark.createDataFrame([(i, f"{ODD[i % len(ODD)]}{i}", "small") for i in range(50)],
                                      "row long, sentence string, likes string")
     splits = S.split_table(S.assign_folds(prepared.select("row")))
     path = scratch_path(spark, "test-split-files")
@@ -48,6 +51,22 @@ def test_split_files_round_trip(spark):
     back = A.read_split_files(spark, path)
     assert back.count() == splits.count()
     assert back.where("label != '__label__small'").count() == 0
+    texts = {r.row: r.sentence for r in prepared.collect()}
+    assert all(texts[r.row] == r.sentence for r in back.collect())
+
+
+def test_posts_as_text_round_trip(spark):
+    rows = [(i, t, i % 2 == 0) for i, t in enumerate([*ODD, "", None, "  ", '"'])]
+    schema = A.T.StructType([f for f in A.POSTS_SCHEMA if f.name in ("post_id", "text", "has_media")])
+    path = scratch_path(spark, "test-posts-csv")
+    A.write_table(spark.createDataFrame(rows, schema), path, fmt="csv")
+    assert sorted(tuple(r) for r in A.read_posts(spark, path, "csv", schema).collect()) == rows
+
+
+def test_half_precision_of_nulls_and_lengths(spark):
+    df = spark.createDataFrame([(0, [0.1]), (1, None), (2, []), (3, [0.2, 0.3])], "i int, v array<float>")
+    got = {r.i: r.h for r in df.select("i", H.half_precision(F.col("v")).alias("h")).collect()}
+    assert got[1] is None and got[2] == [] and got[3] == [float(np.float16(x)) for x in (0.2, 0.3)]
 
 
 def test_permutation_shap_telescopes(spark):

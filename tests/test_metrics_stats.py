@@ -32,11 +32,47 @@ def test_mcc_undefined_is_zero(spark):
     assert J.mcc(p).first().mcc == 0.0
 
 
-def test_shapiro_known_values():
-    w, p = dist.shapiro_wilk([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
-    assert abs(w - 0.7888) < 1e-3 and abs(p - 0.0067) < 5e-4
-    w3, p3 = dist.shapiro_wilk([1.0, 2.0, 4.0])
-    assert 0 < w3 <= 1 and 0 <= p3 <= 1
+def _normality(spark, groups):
+    obs = spark.createDataFrame([(g, None if v is None else float(v)) for g, vs in groups.items() for v in vs], "treatments string, value double")
+    return {r.treatments: r for r in K.normality(obs).collect()}
+
+
+def test_shapiro_known_values(spark):
+    r = np.random.default_rng(5)
+    got = _normality(spark, {"a": [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], "three": [1, 2, 4], "two": [1, 2],
+                             "same": [3, 3, 3, 3], "gaps": [None, 1, None, 2, 4], "five": [1, 2, 3, 5, 9],
+                             "normal": r.normal(1e6, 2, 6000), "skewed": r.exponential(1, 6000)})
+    assert abs(got["a"].W - 0.7888) < 1e-3 and abs(got["a"].pval - 0.0067) < 5e-4 and not got["a"].normal
+    assert 0 < got["three"].W <= 1 and got["gaps"].W == got["three"].W
+    assert got["two"].W is None and got["two"].pval is None and got["same"].W == 1.0
+    assert abs(got["five"].W - 0.9013) < 2e-2
+    # one test at every size
+    assert got["normal"].W > 0.999 and got["normal"].normal and got["skewed"].W < 0.9 and not got["skewed"].normal
+
+
+def test_missing_predictions_are_misses(spark):
+    rows = [("v", 0, 0, "a", "a"), ("v", 0, 1, "a", None), ("v", 0, 2, "b", None), ("v", 0, 3, "b", "a")]
+    p = spark.createDataFrame(rows, "variant string, fold int, row long, truth string, prediction string")
+    assert J.micro_f1(p).first().f1 == 0.25
+    assert J.mcc(p).count() == 1 and J.weighted_f1(p).first().f1_weighted is not None
+
+
+def test_large_counts_do_not_overflow(spark):
+    n = 4_000_000_000
+    conf = spark.createDataFrame([("v", "a", "a", n), ("v", "b", "b", n), ("v", "a", "b", 0)], "variant string, truth string, prediction string, n long")
+    assert J.mcc(conf, conf=conf).first().mcc == 1.0
+
+
+def test_no_variance_within_groups(spark):
+    two = spark.createDataFrame([(g, v) for g, v in (("a", 1.0), ("b", 2.0)) for _ in range(4)], "treatments string, value double")
+    t = {r.source: r for r in K.anova_oneway(two).collect()}
+    assert t["C(treatments)"].F == math.inf and t["C(treatments)"].p_value == 0.0
+    r = K.tukey_hsd(two).first()
+    assert r.reject and r.p_adj == 0.0 and r.lower == r.upper == r.meandiff == 1.0
+    same = two.withColumn("value", F.lit(1.0))
+    assert {x.F for x in K.anova_oneway(same).collect()} == {None} and K.tukey_hsd(same).first().p_adj is None
+    single = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "treatments string, value double")
+    assert K.anova_oneway(single).collect()[0].F is None and K.tukey_pairs(single).first().q is None
 
 
 def test_f_and_studentized_range_tables():

@@ -14,3 +14,29 @@ def test_stream_equals_batch(spark):
     # ids kept for duplicate texts may differ inside one micro-batch; labels of kept posts agree
     assert diff.join(b.select("post_id"), "post_id").count() == 0
     assert s.agg(F.countDistinct("post_id")).first()[0] == s.count()
+
+
+def test_second_call_resumes(spark, tmp_path):
+    """Two calls with a new file between equal one run over both files."""
+    from postresp.operators.labels import cut_points
+    from postresp.plans import catalog as C
+    from postresp.sources.posts import posts
+    from postresp.streaming.score import score_stream
+    p = posts(spark, SF_SMALL).persist()
+    cuts = cut_points(C.cleaned_posts(p))
+    src, other = str(tmp_path / "src"), str(tmp_path / "both")
+    half = p.where("post_id % 2 = 0")
+    run = lambda s, sink: score_stream(spark, s, str(tmp_path / sink), cuts, "3650 days")
+    half.coalesce(1).write.parquet(src)
+    first = run(src, "sink").count()
+    assert run(src, "sink").count() == first            # nothing new
+    p.where("post_id % 2 = 1").coalesce(1).write.mode("append").parquet(src)
+    twice = run(src, "sink")
+    half.coalesce(1).write.parquet(other)
+    p.where("post_id % 2 = 1").coalesce(1).write.mode("append").parquet(other)
+    once = run(other, "other")
+    key = ["text", "likes_class"]
+    cols = [c if c in once.columns else "sentence" for c in key]
+    assert twice.count() == once.count() > first
+    assert twice.select(*cols).exceptAll(once.select(*cols)).count() == 0
+    p.unpersist()
