@@ -121,13 +121,15 @@ def variants_for_target(df: DataFrame, target: str, col: str = "variant") -> Dat
     return df.where(F.col(col).contains(target))
 
 
-def stage_ledger(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """``(stage, n_rows)`` for each named stage of a pipeline.
+def stage_ledger(stages: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """``(stage, n_rows)`` of a pipeline's stages.
 
-    One aggregate per stage, unioned; Spark reuses shared exchanges.
+    Each entry is a frame and the stages that are counted on it, as aggregate
+    expressions: stages that only filter or merge rows of one frame share its pass.
     """
-    parts = [df.agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
-             .select(F.lit(name).alias("stage"), "n_rows") for name, df in stages]
+    parts = [df.agg(*[c.cast("long").alias(n) for n, c in counts.items()])
+             .select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("n_rows")) for n in counts])).alias("s"))
+             .select("s.*") for df, counts in stages]
     return reduce(DataFrame.unionByName, parts)
 
 

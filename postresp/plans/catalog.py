@@ -298,10 +298,11 @@ UNION ALL SELECT 'after_removal', count(*) FROM cleaned_nd
 UNION ALL SELECT 'after_dedup', count(*) FROM cleaned""", _CLEAN_ND_CTE, _CLEAN_CTE))
 def b9_stage_ledger(spark, d):
     p = posts(spark, d)
-    y = after_year(p, CUTOFF_YEAR)
-    removed = clean_posts(y, squeeze=False, dedup=False)
-    return B.stage_ledger([("posts", p), ("after_year", y), ("after_removal", removed),
-                           ("after_dedup", clean_posts(y, squeeze=False))])
+    year = F.col("year")
+    removed = clean_posts(after_year(p, CUTOFF_YEAR), squeeze=False, dedup=False)
+    return B.stage_ledger([
+        (p, {"posts": F.count(F.lit(1)), "after_year": F.count_if(year.isNull() | (year > CUTOFF_YEAR))}),
+        (removed, {"after_removal": F.count(F.lit(1)), "after_dedup": F.countDistinct("text")})])
 
 
 # ------------------------------------------------- structured features: D ---
@@ -596,17 +597,18 @@ def _vec_summary(df: DataFrame) -> DataFrame:
                      F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
-@register("h1_word2vec_fold0")
-def h1_word2vec_fold0(spark, d):
-    """Word2Vec fitted on fold 0's training rows, all rows embedded."""
+@register("h1_word2vec")
+def h1_word2vec(spark, d):
+    """Word2Vec fitted on each fold's training rows, all rows embedded."""
     prepared, _, splits = _splits(spark, d)
-    return _vec_summary(H.fold_embeddings(prepared, splits, "word2vec", folds=[0]))
+    return _vec_summary(H.fold_embeddings(prepared, splits, "word2vec"))
 
 
-@register("h2_subword_fold0")
-def h2_subword_fold0(spark, d):
+@register("h2_subword")
+def h2_subword(spark, d):
+    """Subword features of every fold, as one run over all rows gives them."""
     prepared, _, splits = _splits(spark, d)
-    return _vec_summary(H.fold_embeddings(prepared, splits, "subword", folds=[0]))
+    return _vec_summary(H.fold_embeddings(prepared, splits, "subword"))
 
 
 @register("h3_batch_embed")
@@ -620,9 +622,9 @@ def h3_batch_embed(spark, d):
 
 @register("h4_fold_embeddings")
 def h4_fold_embeddings(spark, d):
-    """All five folds of the subword set -> the long embedding table."""
+    """All text sets over all five folds -> the long embedding table."""
     prepared, _, splits = _splits(spark, d)
-    return _vec_summary(H.fold_embeddings(prepared, splits, "subword"))
+    return _vec_summary(B.stack_runs([H.fold_embeddings(prepared, splits, s) for s in ("word2vec", "subword", "batch")]))
 
 
 @register("h5_half_precision")

@@ -85,3 +85,33 @@ def test_permutation_shap_telescopes(spark):
          .select("row", vector_to_array("probability").alias("p")).collect()}
     for (row, c), v in s.items():
         assert abs(v - (p[row][c] - p[7][c])) < 1e-9
+
+
+def test_signed_projection_adds_each_bucket_to_one_place(spark):
+    from pyspark.ml.linalg import Vectors
+    vs = [Vectors.sparse(100, {3: 2.0}), Vectors.sparse(100, {7: -1.5}), Vectors.sparse(100, {3: 2.0, 7: -1.5}), Vectors.sparse(100, {}),
+          Vectors.dense([0.0] * 3 + [2.0] + [0.0] * 96)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], ["i", "v"])
+    got = {r.i: np.array(r.e) for r in df.select("i", H.signed_projection(F.col("v"), 8).alias("e")).collect()}
+    assert sorted(np.abs(got[0]))[-1] == 2.0 and (got[0] != 0).sum() == 1 and (got[4] == got[0]).all()
+    assert np.allclose(got[2], got[0] + got[1]) and not got[3].any()
+
+
+def test_vocabulary_is_bounded_and_no_word_is_dropped(spark):
+    rows = [(i, ["common", "often" if i % 2 else "other", f"rare{i}"]) for i in range(200)] + [(999, [])]
+    df = spark.createDataFrame(rows, "row long, words array<string>")
+    same = H.bounded_vocabulary(df, 1000)
+    assert sorted(map(tuple, ((r.row, tuple(r.words)) for r in same.collect()))) == sorted((i, tuple(w)) for i, w in rows)
+    few = {r.row: r.words for r in H.bounded_vocabulary(df, 20).collect()}
+    forms = {w for ws in few.values() for w in ws}
+    assert len(few) == 201 and len(forms) <= 20 and {"common", "often", "other"} <= forms
+    assert all(len(few[i]) == len(w) and few[i][:2] == w[:2] for i, w in rows if w) and few[999] == []
+
+
+def test_batch_and_word2vec_folds(spark):
+    prepared = spark.createDataFrame([(i, f"word{i % 5} other text {i}") for i in range(60)], "row long, sentence string")
+    splits = S.split_table(S.assign_folds(prepared.select("row")))
+    for name in ("batch", "word2vec"):
+        e = H.fold_embeddings(prepared, splits, name, dim=8)
+        assert e.groupBy("fold").count().orderBy("fold").collect() == [(k, 60) for k in range(5)]
+        assert e.where(F.size("embedding") != 8).count() == 0

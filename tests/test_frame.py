@@ -50,5 +50,16 @@ def test_drop_duplicate_columns(spark):
 
 def test_stage_ledger(spark):
     df = spark.range(10)
-    led = {r.stage: r.n_rows for r in B.stage_ledger([("all", df), ("even", df.where("id % 2 = 0"))]).collect()}
-    assert led == {"all": 10, "even": 5}
+    led = {r.stage: r.n_rows for r in B.stage_ledger([(df, {"all": F.count(F.lit(1)), "even": F.count_if(F.col("id") % 2 == 0)}), (df.where("id < 3"), {"few": F.count(F.lit(1))})]).collect()}
+    assert led == {"all": 10, "even": 5, "few": 3}
+
+
+def test_rank_within_large_and_null_groups(spark):
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 == 7, None).otherwise(F.concat(F.lit("g"), F.col("id") % 13)).alias("g"),
+        (F.col("id") * 7919 % 3001).alias("k"))
+    got = B.rank_within(df, "g", "k", "r")
+    ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
+    assert got.exceptAll(ref).count() == 0 and got.count() == 3000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

@@ -75,3 +75,27 @@ def test_link_tail_no_stack_overflow(spark):
     long_tail = "http://x.co/" + "a b " * 200000
     df = spark.createDataFrame([(long_tail,)], "t string")
     assert df.select(T.replace_links(F.col("t"))).first()[0] == " _URL"
+
+
+def test_squeezing_equals_python_on_documents(spark):
+    import re
+    from pyspark.sql import functions as F
+    from postresp.functions import text as T
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = docs.select("text", T.squeeze_repeats(F.col("text")).alias("s")).collect()
+    unit = re.compile(r"(\S+)(\1{2,})")
+    assert all(r.s == _passes(unit, r.text) for r in got)
+
+
+def _passes(unit, x):
+    for _ in range(10):
+        x = unit.sub(lambda m: m.group(2), x)
+    return x
+
+
+def test_cleaning_is_stable_under_repartitioning(spark):
+    from postresp.operators.clean import clean_posts
+    from postresp.sources.posts import posts
+    p = posts(spark, "/root/testdata/sf0.001")
+    a, b = clean_posts(p.repartition(3)), clean_posts(p.repartition(11, "text"))
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
