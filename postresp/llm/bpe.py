@@ -34,7 +34,7 @@ _WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x
 _SEPARATORS = re.compile("[\x1c-\x1f]").search
 _SPLIT = re.compile(f"[{_WHITE}]+").split
 SLICE = 4 << 20
-MEMO_SIZE = 300_000
+MEMO_SIZE = 120_000
 
 TYPES = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded": pa.string(),
          "decoded_sha256": pa.string()}
@@ -149,8 +149,8 @@ class Codec:
         # the file's alternatives; no two begin with the same character, so their order is free
         self.words = re.compile(rf"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{number}]|[^{_WHITE}{letter}{number}]+").findall
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
-        # ids of remembered chunks, as text, and the vocabulary strings of these ids
-        self.ids, self.decoded = Memo(self._chunk), Memo(self._strings)
+        self.ids = Memo(self._chunk)            # ids of remembered chunks, as text
+        self.by_text = {str(i): s for i, s in self.strings.items()}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -172,9 +172,6 @@ class Codec:
         """Ids, as text, of a stretch without white space."""
         return " ".join([str(i) for w in self.words(chunk) for i in self.word(w)])
 
-    def _strings(self, ids: str) -> str:
-        return self.decode(map(int, ids.split()))
-
     def encode_text(self, text: str) -> list[str]:
         """Ids of each chunk in order, as text.  No token reaches across white space."""
         if not any(s in text for s in self.special):
@@ -190,6 +187,10 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [int(i) for c in self.encode_text(text) for i in c.split()]
 
+    def decode_text(self, ids: str) -> str:
+        """``decode`` of ids given as text."""
+        return " ".join(map(self.by_text.__getitem__, ids.split()))
+
     def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary strings of all ids, joined by blanks (the file names no decoder)."""
         return " ".join(self.strings[i] for i in ids)
@@ -229,7 +230,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", outputs: t
                 if "ids_sha256" in made:
                     made["ids_sha256"].append(_digest(ids))
                 if "decoded" in made or "decoded_sha256" in made:
-                    decoded = " ".join(map(c.decoded.__getitem__, chunks))
+                    decoded = c.decode_text(ids)
                     if "decoded" in made:
                         made["decoded"].append(decoded)
                     if "decoded_sha256" in made:
