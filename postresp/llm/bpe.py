@@ -26,7 +26,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from postresp.llm.common import id_and_text, small_slices
+from postresp.llm.common import frugal, id_and_text, small_slices
 from postresp.llm.token_counts import byte_alphabet, tokenizer_path
 
 #: white space of the file's patterns (Unicode White_Space)
@@ -239,7 +239,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", outputs: t
                                              names=["doc_id", *outputs])
 
     schema = "doc_id long, " + ", ".join(f"{o} {SQL_TYPES[o]}" for o in outputs)
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(run), schema)
 
 
 def bpe_decode(encoded: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -257,4 +257,4 @@ def bpe_decode(encoded: DataFrame, tokenizer: str = "word_bpe_49k.json", id_col:
                     names=["doc_id", "decoded"])
 
     return (encoded.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{ids_col}` ids")
-            .mapInArrow(run, "doc_id long, decoded string"))
+            .mapInArrow(frugal(run), "doc_id long, decoded string"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postresp.llm.common import mix64, small_slices
+from postresp.llm.common import frugal, mix64, small_slices
 
 GRAM = 4
 HASHES = 3
@@ -149,7 +149,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", min
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([docs[lang]], pa.int64())],
                                              names=["lang", "gram", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+    counted = rows.mapInArrow(frugal(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     # a null gram carries the number of documents
     totals = counted.groupBy("lang").agg(F.sum(F.when(F.col("gram").isNull(), F.col("n"))).alias("docs"),
                                          F.sum(F.when(F.col("gram").isNotNull(), F.col("n"))).alias("grams"))
@@ -181,4 +181,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                                              names=["doc_id", "lang_pred", "score"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, lang_pred string, score double"))
+            .mapInArrow(frugal(run), "doc_id long, lang_pred string, score double"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postresp.llm.common import WORD_PATTERN, mix64, small_slices, stored
+from postresp.llm.common import frugal, mix64, small_slices, stored, WORD_PATTERN
 
 BLOCK = 128
 SHARDS = 256
@@ -154,7 +154,7 @@ def _draws(spark: SparkSession, sizes: list[int], wanted: list[float], mix: Mix)
                     [pa.array(np.full(len(slot), number, np.int32)), pa.array(block), pa.array(np.full(len(slot), shard, np.int32)),
                      pa.array(place + offset)], names=["number", "block", "shard", "slot"])
 
-    return rows.mapInArrow(draw, "number int, block long, shard int, slot long")
+    return rows.mapInArrow(frugal(draw), "number int, block long, shard int, slot long")
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text",
@@ -249,4 +249,4 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
                        else row.field(i) for i, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields)], names=["row"])
 
-    return joined.select("text", "parts", "row").mapInArrow(cut, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    return joined.select("text", "parts", "row").mapInArrow(frugal(cut), T.StructType([T.StructField("row", docs.schema)])).select("row.*")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postresp.llm.common import id_and_text, mix64, small_slices, stored, text_bytes
+from postresp.llm.common import frugal, id_and_text, mix64, small_slices, stored, text_bytes
 from postresp.llm.graph import components
 from postresp.llm.spans import LOWER, Hashes, owners, word_spans
 
@@ -101,7 +101,7 @@ def _features(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(sizes.astype(np.int64)), *[pa.array(s.view(np.int64)) for s in sums], *lists],
                 names=["doc_id", "n_shingles", "set1", "set2", "a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, a array<long>, b array<int>")
+    return docs.mapInArrow(frugal(run), "doc_id long, n_shingles long, set1 long, set2 long, a array<long>, b array<int>")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -149,9 +149,9 @@ def _compare(texts: DataFrame, units: DataFrame) -> DataFrame:
                 rows.append(row)
         yield from _unit_links(rows)
 
-    spread = placed.mapInArrow(sets, "unit long, side int, doc long, part long, set binary")
+    spread = placed.mapInArrow(frugal(sets), "unit long, side int, doc long, part long, set binary")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (spread.repartition(n, "unit").sortWithinPartitions("unit", "side").mapInArrow(links, "a long, b long"))
+    return (spread.repartition(n, "unit").sortWithinPartitions("unit", "side").mapInArrow(frugal(links), "a long, b long"))
 
 
 def _unit_links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:

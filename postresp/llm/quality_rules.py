@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postresp.llm.common import mix64, small_slices, text_bytes
+from postresp.llm.common import frugal, mix64, small_slices, text_bytes
 from postresp.llm.spans import IS_SPACE, LOWER, Hashes, counts_per, line_spans, owners, repeated, word_spans
 
 _SYMBOL = np.zeros(256, bool)
@@ -115,7 +115,7 @@ def common_lines(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id"
                 [pa.array(p.key[~later]), pa.array(hosts[doc]), pa.array(batch.column(2).to_numpy()[doc])],
                 names=["key", "host", "content"])
 
-    found = keyed.select("text", "host", "content").mapInArrow(lines, "key long, host long, content long")
+    found = keyed.select("text", "host", "content").mapInArrow(frugal(lines), "key long, host long, content long")
     counted = (found.groupBy("key").agg(F.min("host").alias("host"), F.countDistinct("content").alias("n_docs"))
                .where(F.col("n_docs") > rules.min_line_docs))
     sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
@@ -152,7 +152,7 @@ def _applied(docs: DataFrame, rules: Rules, id_col: str, text_col: str, host_col
                 p = Parsed(batch.column(0), batch.column(1).to_numpy())
                 yield judge(batch, p, np.isin(p.key, shared.value))
 
-        return keyed.mapInArrow(run, schema)
+        return keyed.mapInArrow(frugal(run), schema)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, 0, SLICE):
@@ -163,7 +163,7 @@ def _applied(docs: DataFrame, rules: Rules, id_col: str, text_col: str, host_col
                                              names=["key", "host", "content"])
 
     # the keys depend on host and text alone, so equal texts share one list
-    lists = (keyed.select("text", "host", "content").mapInArrow(own, "key long, host long, content long")
+    lists = (keyed.select("text", "host", "content").mapInArrow(frugal(own), "key long, host long, content long")
              .distinct().join(frequent, "key", "left_semi")
              .groupBy("host", "content").agg(F.collect_list("key").alias("bad_keys")))
     joined = keyed.join(lists, ["host", "content"], "left").select("text", "host", "content", "doc_id", "row", "bad_keys")
@@ -176,7 +176,7 @@ def _applied(docs: DataFrame, rules: Rules, id_col: str, text_col: str, host_col
             bad = np.fromiter(((int(d), int(k)) in mark for d, k in zip(p.line_doc, p.key)), bool, len(p.key))
             yield judge(batch, p, bad)
 
-    return joined.mapInArrow(run_joined, schema)
+    return joined.mapInArrow(frugal(run_joined), schema)
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text",

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postresp.llm.common import mix64, small_slices, stored
+from postresp.llm.common import frugal, mix64, small_slices, stored
 from postresp.llm.repeats import anchored_repeats
 from postresp.llm.spans import Hashes
 
@@ -49,7 +49,7 @@ GRAM = 32
 GROUP = 20_000
 SLICE = 1 << 20
 PIECE = 4 << 20          #: longer texts are read in overlapping pieces
-LOCAL = 1 << 20          #: blocks that a task combines at a time
+LOCAL = 1 << 18          #: blocks that a task combines at a time
 _LAST = (1 << 63) - 1    #: stands for a null id
 _POSITION = np.uint64((1 << 24) - 1)
 
@@ -140,7 +140,7 @@ def _find(window: int):
     task as removed stretches."""
 
     def settled(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        rows = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        rows = {k: np.concatenate([h.pop(k) for h in held]) for k in list(held[0])}
         order, later = _later(rows)
         rows = {k: v[order] for k, v in rows.items()}
         new = {k: v[~later] for k, v in rows.items()}
@@ -314,8 +314,8 @@ def removed_stretches(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = keyed.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed.where("copy = 1").select("doc", "tie", "text")
-    found = texts.mapInArrow(_find(window), _ROW).repartition(n, "gram")
-    known = stored(found.mapInArrow(_first(window), "gram long, doc long, tie long, start long, end long, size int"), "blocks")
+    found = texts.mapInArrow(frugal(_find(window)), _ROW).repartition(n, "gram")
+    known = stored(found.mapInArrow(frugal(_first(window)), "gram long, doc long, tie long, start long, end long, size int"), "blocks")
     done = known.where("gram IS NULL").select("doc", "tie", "start", "end")
     left = known.where("gram IS NOT NULL")
     many = left.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("gram")
@@ -325,14 +325,14 @@ def removed_stretches(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
         common = left.join(many, "gram", "left_semi")
         left = left.join(many, "gram", "left_anti")
         every = (texts.join(_places(common, place, "places"), ["doc", "tie"]).select("doc", "tie", "text", "places")
-                 .mapInArrow(_windows(window), "gram long, hash long, doc long, tie long, start long"))
+                 .mapInArrow(frugal(_windows(window)), "gram long, hash long, doc long, tie long, start long"))
         firsts = every.groupBy("gram", "hash").agg(F.min(F.struct("doc", "tie", "start")).alias("first"))
         later = every.join(firsts, ["gram", "hash"]).where(F.struct("doc", "tie", "start") > F.col("first"))
         done = done.union(later.select("doc", "tie", "start", (F.col("start") + window).alias("end")))
     suffixes = (texts.join(_places(left, place, "places"), ["doc", "tie"]).select("doc", "tie", "text", "places")
-                .mapInArrow(_block_texts(window), "gram long, doc long, tie long, start long, anchor int, text binary"))
+                .mapInArrow(frugal(_block_texts(window)), "gram long, doc long, tie long, start long, anchor int, text binary"))
     repeats = (suffixes.repartition(n, "gram").sortWithinPartitions("gram")
-               .mapInArrow(_repeats(window), "doc long, tie long, start long, end long"))
+               .mapInArrow(frugal(_repeats(window)), "doc long, tie long, start long, end long"))
     return done.union(repeats)
 
 
@@ -372,7 +372,7 @@ def dedup_digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _joined(docs, id_col, text_col, window).select("doc", "copy", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_texts(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,4 +393,4 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields)], names=["row"])
 
     rows = _joined(docs, id_col, text_col, window).select("copy", "text", "spans", "row")
-    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    return rows.mapInArrow(frugal(run), T.StructType([T.StructField("row", docs.schema)])).select("row.*")

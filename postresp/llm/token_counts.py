@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from postresp.llm.common import id_and_text, small_slices
+from postresp.llm.common import frugal, id_and_text, small_slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 #: a single blank between two characters that are not white space: in byte-level
@@ -157,4 +157,4 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", batch_by
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())],
                                              names=["doc_id", "n_bytes", "n_tokens"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(count, SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(count), SCHEMA)
