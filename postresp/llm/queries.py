@@ -20,7 +20,7 @@ from postresp.llm.language_id import fit, identify
 from postresp.llm.mixing import taken_words
 from postresp.llm.near_dup import near_duplicates
 from postresp.llm.quality_rules import quality_rules
-from postresp.llm.simhash import edit_likeness
+from postresp.llm.simhash import edit_likeness, near_counts
 from postresp.llm.suffix_dedup import dedup_digests
 from postresp.llm.token_counts import token_counts
 
@@ -38,7 +38,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_likeness(table(spark, sf_dir, "documents"))
+    rows = edit_likeness(table(spark, sf_dir, "documents"))
+    # a further column: other documents whose fingerprint is within three bits
+    return rows.join(near_counts(rows.select("fingerprint"), radius=3), "fingerprint").select(*rows.columns, "n_near")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
