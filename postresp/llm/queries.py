@@ -20,6 +20,7 @@ from postresp.llm.language_id import fit, identify
 from postresp.llm.mixing import taken_words
 from postresp.llm.near_dup import near_duplicates
 from postresp.llm.quality_rules import quality_rules
+from postresp.llm.sentence_dedup import sentence_dedup
 from postresp.llm.simhash import edit_likeness, near_counts
 from postresp.llm.suffix_dedup import dedup_digests
 from postresp.llm.token_counts import token_counts
@@ -43,6 +44,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(near_counts(rows.select("fingerprint"), radius=3), "fingerprint").select(*rows.columns, "n_near")
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
+    "op3_sentence_spans": op3_sentence_spans,
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
