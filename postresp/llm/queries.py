@@ -21,7 +21,7 @@ from postresp.llm.mixing import taken_words
 from postresp.llm.near_dup import near_duplicates
 from postresp.llm.quality_rules import quality_rules
 from postresp.llm.sentence_dedup import sentence_dedup
-from postresp.llm.simhash import edit_likeness, near_counts
+from postresp.llm.simhash import edit_likeness, near_classes
 from postresp.llm.suffix_dedup import dedup_digests
 from postresp.llm.token_counts import token_counts
 
@@ -40,8 +40,9 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edit_likeness(table(spark, sf_dir, "documents"))
-    # a further column: other documents whose fingerprint is within three bits
-    return rows.join(near_counts(rows.select("fingerprint"), radius=3), "fingerprint").select(*rows.columns, "n_near")
+    # further columns: other documents whose fingerprint is within three bits (copies) and within those of
+    # near copies, and the smallest fingerprint among these
+    return rows.join(near_classes(rows.select("fingerprint")), "fingerprint").select(*rows.columns, "n_near", "n_similar", "link")
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
