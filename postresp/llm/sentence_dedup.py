@@ -1,19 +1,19 @@
 """Sliding sentence spans (operator 3).
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?``, at a line
-feed, or with the text.  From every sentence two runs of several sentences are
-taken: the shortest one of ``SENTENCES`` and more sentences and ``WORDS`` and
-more words that begins with it, and the shortest one that ends with it (so a
-passage is covered up to its last sentence).  Runs are compared by two hashes
-of their words, A-Z lower-cased, over the whole table; every run but the first
-of its kind (smaller id, then earlier) is repeated, and sentences covered by a
-repeated run that is not the first are removed with the white space after them.
+feed, or with the text.  From every sentence the run of ``SENTENCES`` sentences
+that begins with it is taken, however short its sentences are (``WORDS`` is 1:
+no limit); a longer run that is repeated consists of such runs, all of them
+repeated.  Runs are compared by two hashes of their words, A-Z lower-cased, over
+the whole table; every run but the first of its kind (smaller id, then earlier)
+is repeated, and sentences covered by a repeated run that is not the first are
+removed with the white space after them.
 
 Equal runs in a task are combined before the shuffle, so a passage that very
 many documents share arrives once per task, not once per document.
 
 Defined results: null and empty texts have no sentences; a text with fewer
-sentences or words than a run keeps everything; a null id sorts last; documents
+sentences than a run keeps everything; a null id sorts last; documents
 of one id are ordered by their text's hash; of repeated rows all but one lose
 every sentence that is in a run; other columns are ignored; an empty table
 gives an empty result.
@@ -34,7 +34,7 @@ from postresp.llm.spans import LOWER, Hashes, owners, word_spans
 from postresp.llm.suffix_dedup import _LAST, _batch, _keyed, _later, _merged
 
 SENTENCES = 2
-WORDS = 20
+WORDS = 1                #: words of a run at least
 SLICE = 1 << 20
 LOCAL = 1 << 18          #: runs that a task combines at a time
 _NAMES = ["gram", "block", "doc", "tie", "start", "size"]

@@ -103,3 +103,15 @@ def test_query_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert sentence_dedup.sentence_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_runs_are_found_whatever_stands_around_them(spark):
+    rows = [(1, "Alpha one two three four five six seven eight. Yes, go. No, stay! Beta nine ten eleven twelve."),
+            (2, "Gamma is other here. Yes, go. No, stay! Delta differs as well."),
+            (3, "Epsilon. Yes, go. Zeta. No, stay!"),
+            (4, "Eta a b. Theta c d. Iota e f. Kappa g h."),
+            (5, "Lambda.\nTheta c d. Iota e f. Kappa g h.\nMu.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.text) for r in sentence_dedup.sentence_dedup(df).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (2, "Gamma is other here. Delta differs as well."), 3: (0, rows[2][1]),
+                   4: (0, rows[3][1]), 5: (3, "Lambda.\nMu.")}
