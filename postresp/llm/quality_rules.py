@@ -4,8 +4,8 @@ Every line is normalised (words, A-Z lower-cased, joined by one blank) and
 hashed; the number of different documents per host that hold it is counted
 over the whole table.  Lines above the limit of their host are removed, and a
 document that keeps too small a part of its words is rejected, as is one that
-fails the base rules.  Copies of one text count as one document: they are left
-to de-duplication.
+fails the base rules.  Copies of one text count as one document, in a line's
+count and in its host's: they are left to de-duplication.
 
 Defined results: null and empty texts have no word and fail; a null host is a
 host of its own; lines without a word are never counted, compared or removed;
@@ -40,7 +40,7 @@ class Rules:
     min_words: int = 50                #: fewer words fail
     max_repeat_percent: int = 50       #: more repeated words than this fail
     min_line_docs: int = 20            #: a line in this many documents of a host, or fewer, stays
-    max_line_share: float = 0.05       #: and so does one in this share of the host's documents, or less
+    max_line_share: float = 0.05       #: and so does one in this share of the host's different documents, or less
     min_left_share: float = 0.3        #: a document that keeps a smaller share of its words is rejected
     max_broadcast_lines: int = 1 << 20  #: more lines above the limit than this are joined, not broadcast
 
@@ -101,7 +101,7 @@ def common_lines(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id"
 
     Two aggregations, both combined before their shuffle: distinct
     (line, text) first, so that a line found everywhere is spread over all
-    tasks, then the count per line.
+    tasks, then the count per line; likewise for the texts of a host.
     """
     keyed = _keyed(docs, id_col, text_col, host_col)
 
@@ -118,7 +118,7 @@ def common_lines(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id"
     found = keyed.select("text", "host", "content").mapInArrow(frugal(lines), "key long, host long, content long")
     counted = (found.groupBy("key").agg(F.min("host").alias("host"), F.countDistinct("content").alias("n_docs"))
                .where(F.col("n_docs") > rules.min_line_docs))
-    sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    sizes = keyed.groupBy("host").agg(F.countDistinct("content").alias("host_docs"))
     return (counted.join(sizes, "host").where(F.col("n_docs") > F.col("host_docs") * rules.max_line_share)
             .select("key", "host", "n_docs"))
 

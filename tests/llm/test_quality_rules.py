@@ -81,3 +81,15 @@ def test_query_equals_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality_rules(df).count() == 0 and quality_filter(df).count() == 0
+
+
+def test_copies_do_not_raise_the_limit_of_their_host(spark):
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    docs = [(k, f"{body(k)}\n" + ("cookie notice of the host" if k < 45 else f"own {k}"), "a") for k in range(100)]
+    docs += [(1000 + k, body(-1), "a") for k in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert [r.n_docs for r in common_lines(df).collect()] == [45]     # of 101 different texts, in 1000 rows
+    rows = quality_rules(df).collect()
+    assert sum(r.removed_words == 5 for r in rows) == 45 and sum(r.removed_words for r in rows) == 225
+    left = quality_filter(df.repartition(3)).collect()
+    assert len(left) == 1000 and not any("cookie notice" in r.text for r in left)
