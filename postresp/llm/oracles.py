@@ -71,7 +71,8 @@ FROM docs d LEFT JOIN sizes z ON z.doc_id = d.doc_id JOIN reach r ON r.a = d.doc
 """
 
 #: op10, with the default rules: 50 words, half repeated, lines on more than
-#: 20 documents and a twentieth of their host's, three tenths of the words left.
+#: 20 documents and a twentieth of their host's (copies of a text are one
+#: document), three tenths of the words left.
 OP10 = rf"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -82,7 +83,7 @@ worded AS (
     translate(array_to_string({_WORDS.format("line")}, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM worded GROUP BY r),
-hosts AS (SELECT source, count(*) AS n FROM docs GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT text) + count(DISTINCT CASE WHEN text IS NULL THEN 1 END) AS n FROM documents GROUP BY source),
 common AS (
   SELECT c.source, c.norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM worded GROUP BY source, norm) c
   JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n > 20 AND c.n > h.n * 0.05),

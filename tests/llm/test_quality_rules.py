@@ -1,8 +1,11 @@
 import re
 from collections import Counter, defaultdict
 
+import duckdb
+import pyarrow as pa
 import pytest
 
+from postresp.llm.oracles import OP10
 from postresp.llm.quality_rules import Rules, common_lines, quality_filter, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -11,7 +14,7 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 
 def brute(docs, rules):
     """Expected rows of (doc_id, text, source) triples, and the texts left."""
-    holders, hosts, rows = defaultdict(set), Counter(s for _, _, s in docs), []
+    holders, hosts, rows = defaultdict(set), Counter(s for _, s in {(t, s) for _, t, s in docs}), []
     norm = lambda line: " ".join(WORD.findall(line.translate(LOWER)))
     for _, text, s in docs:
         for line in (text or "").split("\n"):
@@ -89,6 +92,12 @@ def test_copies_do_not_raise_the_limit_of_their_host(spark):
     docs += [(1000 + k, body(-1), "a") for k in range(900)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     assert [r.n_docs for r in common_lines(df).collect()] == [45]     # of 101 different texts, in 1000 rows
+    expected = sorted((r[:-1] for r in brute(docs, Rules())), key=repr)
+    assert as_rows(quality_rules(df)) == expected
+    con = duckdb.connect()
+    con.register("documents", pa.table(dict(zip(("doc_id", "text", "source"), map(list, zip(*docs))))))
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+    assert sorted(con.execute(f"SELECT {', '.join(names)} FROM ({OP10})").fetchall(), key=repr) == expected
     rows = quality_rules(df).collect()
     assert sum(r.removed_words == 5 for r in rows) == 45 and sum(r.removed_words for r in rows) == 225
     left = quality_filter(df.repartition(3)).collect()
