@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from postresp.llm import oracles
 from postresp.llm.bpe import bpe_encode
 from postresp.llm.chat_format import format_conversations, loss_text, parse_formatted
-from postresp.llm.common import table
+from postresp.llm.common import WORD_PATTERN, table
 from postresp.llm.language_id import fit, identify
 from postresp.llm.mixing import taken_words
 from postresp.llm.near_dup import near_duplicates
+from postresp.llm.periodic_runs import periodic_runs
 from postresp.llm.quality_rules import quality_rules
 from postresp.llm.sentence_dedup import sentence_dedup
 from postresp.llm.simhash import edit_likeness, near_classes
@@ -90,6 +91,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in a tenth of the documents (by crc32 of the id) the
+    words from a place on repeat a period of words, as the contract of op12 says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.floor(h / 10).alias("g"), (h % 10 == 0).alias("hit"),
+                        F.regexp_extract_all(F.when(h % 10 == 0, F.col("text")), F.lit(WORD_PATTERN), F.lit(0)).alias("w"))
+    n = F.size("w").cast("long")
+    a = F.when(n > 0, F.expr("g % nullif(size(w), 0)"))
+    placed = words.withColumn("a", a).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(F.col("hit") & (n > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    found = found.withColumn("best", longest).withColumn("length", -F.col("best.less"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), "length", F.col("best.period").alias("period"),
+                        F.expr("1000 * length div best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -102,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE: dict[str, str] = dict(oracles.ORACLE)
