@@ -105,9 +105,38 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM base
 """
 
+#: op11.  Words by hand from lower-cased pieces; whole numbers of 128 bits.
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces) WHERE len(w) > 0),
+grams AS (
+  SELECT lang, k, array_slice(w, i, i + k - 1) AS g, count(*)::HUGEINT AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) AS r(k) WHERE len(w) >= k) GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.f AS a, x.k AS cut, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM grams c JOIN range(1, 3) AS s(at) ON s.at < c.k
+  JOIN grams x ON x.lang = c.lang AND x.k = s.at AND x.g = array_slice(c.g, 1, s.at)
+  JOIN grams y ON y.lang = c.lang AND y.k = c.k - s.at AND y.g = array_slice(c.g, s.at + 1, c.k)
+  WHERE c.k > 1 AND c.f >= 10),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, g, max(a) AS a FROM (
+    SELECT lang, array_slice(g, 1, 2) AS g, a FROM lowest WHERE k = 3 UNION ALL SELECT lang, array_slice(g, 2, 3), a FROM lowest WHERE k = 3) GROUP BY ALL),
+alive AS (
+  SELECT w.lang, array_to_string(w.g, ' ') AS phrase, w.a, w.l, w.r, w.score
+  FROM lowest w LEFT JOIN longer o ON o.lang = w.lang AND o.g = w.g WHERE o.a IS NULL OR 100 * o.a < 50 * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alive)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": OP1,
     "op6_chat_format": OP6,
     "op7_near_duplicates": OP7,
     "op10_quality_rules": OP10,
+    "op11_collocations": OP11,
 }

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from postresp.llm import oracles
 from postresp.llm.bpe import bpe_encode
 from postresp.llm.chat_format import format_conversations, loss_text, parse_formatted
+from postresp.llm.collocations import collocations
 from postresp.llm.common import WORD_PATTERN, table
 from postresp.llm.language_id import fit, identify
 from postresp.llm.mixing import taken_words
@@ -91,6 +92,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: in a tenth of the documents (by crc32 of the id) the
     words from a place on repeat a period of words, as the contract of op12 says."""
@@ -127,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
 }
 

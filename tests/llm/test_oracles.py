@@ -6,7 +6,7 @@ from postresp.llm.queries import ORACLE, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op7_near_duplicates", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op7_near_duplicates", "op10_quality_rules", "op11_collocations"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
