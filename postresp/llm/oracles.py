@@ -116,10 +116,10 @@ grams AS (
   FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) AS r(k) WHERE len(w) >= k) GROUP BY ALL),
 totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
 cuts AS (
-  SELECT c.lang, c.k, c.g, c.f AS a, x.k AS cut, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
-  FROM grams c JOIN range(1, 3) AS s(at) ON s.at < c.k
-  JOIN grams x ON x.lang = c.lang AND x.k = s.at AND x.g = array_slice(c.g, 1, s.at)
-  JOIN grams y ON y.lang = c.lang AND y.k = c.k - s.at AND y.g = array_slice(c.g, s.at + 1, c.k)
+  SELECT c.lang, c.k, c.g, c.f AS a, x.k::BIGINT AS cut, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM grams c JOIN range(1, 3) AS s(place) ON s.place < c.k
+  JOIN grams x ON x.lang = c.lang AND x.k = s.place AND x.g = array_slice(c.g, 1, s.place)
+  JOIN grams y ON y.lang = c.lang AND y.k = c.k - s.place AND y.g = array_slice(c.g, s.place + 1, c.k)
   WHERE c.k > 1 AND c.f >= 10),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
 longer AS (
