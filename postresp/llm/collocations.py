@@ -45,6 +45,8 @@ SCALE = 1_000_000
 #: the pairs first looked at, as a multiple of the phrases wanted; each further round takes four times as many
 AHEAD = 2
 MAX_SLOTS = 1 << 23
+#: parts in which a language's phrases are ranked first
+PARTS = 64
 SEEDS = (0, 1, 2, 3)
 RESULT = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 
@@ -223,6 +225,14 @@ def _triples(counted: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
                     F.least("s1", "s2").alias("score"))
 
 
+def _best(rows: DataFrame, top: int, *order: Column) -> DataFrame:
+    """``rank``, up to ``top`` per language; ranked in parts first, so that a
+    language's rows do not meet in one task."""
+    part = rows.withColumn("part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)))
+    few = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    return few.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+
+
 def _survivors(pairs: DataFrame, triples: DataFrame, cuts: DataFrame) -> DataFrame:
     """Candidates at or above their language's threshold that no longer phrase drops."""
     held = triples.select("h1", "h2", "a").union(triples.select("h2", "h3", "a")).groupBy("h1", "h2").agg(F.max("a").alias("longer"))
@@ -243,10 +253,9 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, text_c
     # one row per language: where its search stands.  No phrase scores above SCALE
     state = stored(pairs.select("lang").distinct().select("lang", F.lit(SCALE + 1).cast("long").alias("cut"), F.lit(False).alias("settled")), "collocation-state")
     wanted = AHEAD * top
-    best = Window.partitionBy("lang").orderBy(F.desc("score"))
     while state.where("NOT settled").limit(1).count():
         # the next threshold: the score of the wanted-th best pair, or all
-        nth = pairs.select("lang", "score").withColumn("k", F.row_number().over(best)).where(F.col("k") == wanted).select("lang", F.col("score").alias("next"))
+        nth = _best(pairs.select("h1", "h2", "lang", "score"), wanted, F.desc("score")).where(F.col("rank") == wanted).select("lang", F.col("score").alias("next"))
         step = (state.join(nth, "lang", "left")
                 .select("lang", "settled", F.col("cut").alias("before"), F.when(F.col("settled"), F.col("cut")).otherwise(F.coalesce("next", F.lit(0).cast("long"))).alias("cut")))
         step = stored(step, "collocation-state")
@@ -263,6 +272,5 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = MIN_COUNT, text_c
         wanted *= 4
     if found is None:
         return docs.sparkSession.createDataFrame([], RESULT)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).join(totals, "lang")
-            .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    return (_best(found, top, F.desc("score"), F.desc("a"), F.col("phrase")).join(totals, "lang")
+            .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))

@@ -111,23 +111,27 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 words AS (SELECT lang, w FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces) WHERE len(w) > 0),
-grams AS (
-  SELECT lang, k, array_slice(w, i, i + k - 1) AS g, count(*)::HUGEINT AS f
-  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 4) AS r(k) WHERE len(w) >= k) GROUP BY ALL),
-totals AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
-cuts AS (
-  SELECT c.lang, c.k, c.g, c.f AS a, x.k::BIGINT AS cut, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
-  FROM grams c JOIN range(1, 3) AS s(place) ON s.place < c.k
-  JOIN grams x ON x.lang = c.lang AND x.k = s.place AND x.g = array_slice(c.g, 1, s.place)
-  JOIN grams y ON y.lang = c.lang AND y.k = c.k - s.place AND y.g = array_slice(c.g, s.place + 1, c.k)
-  WHERE c.k > 1 AND c.f >= 10),
-lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+placed AS (SELECT lang, unnest(w) AS w1, unnest(w[2:]) AS w2, unnest(w[3:]) AS w3 FROM words),
+one AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM placed GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM placed WHERE w2 IS NOT NULL GROUP BY ALL),
+three AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM placed WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(f) AS n FROM one GROUP BY lang),
 longer AS (
-  SELECT lang, g, max(a) AS a FROM (
-    SELECT lang, array_slice(g, 1, 2) AS g, a FROM lowest WHERE k = 3 UNION ALL SELECT lang, array_slice(g, 2, 3), a FROM lowest WHERE k = 3) GROUP BY ALL),
+  SELECT lang, w1, w2, max(f) AS f FROM (
+    SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+pairs AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, x.f AS l, y.f AS r, (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM two c JOIN one x ON x.lang = c.lang AND x.w1 = c.w1 JOIN one y ON y.lang = c.lang AND y.w1 = c.w2
+  LEFT JOIN longer o ON o.lang = c.lang AND o.w1 = c.w1 AND o.w2 = c.w2
+  WHERE c.f >= 10 AND (o.f IS NULL OR 100 * o.f < 50 * c.f)),
+cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3 AS phrase, c.f AS a, l1.f AS l1, r1.f AS r1, l2.f AS l2, r2.f AS r2,
+    (1000000 * c.f * c.f) // (l1.f * r1.f) AS s1, (1000000 * c.f * c.f) // (l2.f * r2.f) AS s2
+  FROM three c JOIN one l1 ON l1.lang = c.lang AND l1.w1 = c.w1 JOIN two r1 ON r1.lang = c.lang AND r1.w1 = c.w2 AND r1.w2 = c.w3
+  JOIN two l2 ON l2.lang = c.lang AND l2.w1 = c.w1 AND l2.w2 = c.w2 JOIN one r2 ON r2.lang = c.lang AND r2.w1 = c.w3),
 alive AS (
-  SELECT w.lang, array_to_string(w.g, ' ') AS phrase, w.a, w.l, w.r, w.score
-  FROM lowest w LEFT JOIN longer o ON o.lang = w.lang AND o.g = w.g WHERE o.a IS NULL OR 100 * o.a < 50 * w.a),
+  SELECT * FROM pairs UNION ALL
+  SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM cuts),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alive)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
