@@ -21,6 +21,7 @@ from postresp.llm.language_id import fit, identify
 from postresp.llm.mixing import taken_words
 from postresp.llm.near_dup import near_duplicates
 from postresp.llm.periodic_runs import periodic_runs
+from postresp.llm.pii import BASE_KINDS, fit_table, labelled_table, personal_data, span_text
 from postresp.llm.quality_rules import quality_rules
 from postresp.llm.sentence_dedup import sentence_dedup
 from postresp.llm.simhash import edit_likeness, near_classes
@@ -120,6 +121,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"), fit_table(labelled_table(spark)))
+    base = F.filter("spans", lambda s: s["base"])
+    n_of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[n_of(kind) for kind in BASE_KINDS], F.sha2(span_text(base), 256).alias("base_sha256"),
+                        span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -134,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_pii": op13_pii,
 }
 
 ORACLE: dict[str, str] = dict(oracles.ORACLE)
