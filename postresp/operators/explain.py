@@ -1,7 +1,7 @@
 """Model explanation with Shapley values.
 
 * ``tree_shap``  -- exact path-dependent Tree SHAP for Spark random forests
-  and one-vs-rest boosted trees.  The fitted model is saved to the shared
+  and boosted trees.  A fitted Spark model is saved to the shared
   checkpoint folder and its node table read back as a DataFrame; the node
   table is bounded by the model size (trees x nodes), not by the data, and is
   broadcast.  Rows are explained in Arrow batches by ``mapInPandas`` and come
@@ -53,6 +53,15 @@ def _tree_weights(spark, path: str) -> dict:
     return {int(r.treeID): float(r.weight) for r in w.collect()}
 
 
+def _softmax_nodes(model, tree) -> pd.DataFrame:
+    """A tree of ``operators.boosting`` in the form of Spark's node table."""
+    inner = [f >= 0 for f in tree.feature]
+    return pd.DataFrame({
+        "id": range(len(inner)), "prediction": tree.value, "impurityStats": [[c] for c in tree.cover], "leftChild": tree.left,
+        "rightChild": [x + 1 if x >= 0 else -1 for x in tree.left], "featureIndex": tree.feature,
+        "thr": [[model.thresholds(tree, k)] if inner[k] else [] for k in range(len(inner))], "numCategories": -1})
+
+
 def _compile_tree(nodes: pd.DataFrame, value_fn, n_out: int):
     """Paths of one tree: per leaf, unique features with interval (lo, hi], z, value."""
     by_id = {int(r.id): r for r in nodes.itertuples(index=False)}
@@ -182,14 +191,18 @@ def _stacked_phi(st, X: np.ndarray, n_features: int) -> np.ndarray:
 
 
 def compile_model(model, spark, kind: str, n_classes: int = 3) -> dict:
-    """Save ``model`` under the shared checkpoint folder and compile its trees."""
+    """Compile the trees of ``model``; Spark's own models are saved under the shared
+    checkpoint folder and their node tables read."""
+    if kind == "XGB":  # joint soft-max: its trees by class, leaves are margins
+        rounds = next(iter(model.rounds.values()))
+        return _stack([([_compile_tree(_softmax_nodes(model, r[c]), "value", 1) for r in rounds], [1.0] * len(rounds)) for c in range(n_classes)], n_classes)
     path = scratch_path(spark, f"shap-models/{uuid.uuid4().hex}")
     model.write().overwrite().save(path)
     if kind == "RF":
         nodes = _node_table(spark, path)
         trees = [_compile_tree(g, "proba", n_classes) for _, g in nodes.groupby("treeID")]
         parts = [(trees, [1.0 / len(trees)] * len(trees))]
-    elif kind == "XGB":  # one-vs-rest of binary GBTs: one margin per class
+    elif kind == "GBT":  # one-vs-rest of binary GBTs: one margin per class
         parts = []
         for c in range(n_classes):
             sub = f"{path}/model_{c}"
@@ -201,7 +214,7 @@ def compile_model(model, spark, kind: str, n_classes: int = 3) -> dict:
                 ws.append(weights[int(tid)])
             parts.append((trees, ws))
     else:
-        raise ValueError(f"tree_shap supports RF and XGB models, not {kind}")
+        raise ValueError(f"tree_shap supports RF, XGB and GBT models, not {kind}")
     return _stack(parts, n_classes)
 
 
