@@ -10,6 +10,9 @@
   every (row, permutation, step) is a row of a Spark DataFrame evaluated by
   the model's own ``transform``; differences come from a window per
   (row, permutation) of ``d + 1`` rows.
+* ``kernel_shap`` -- model-agnostic Shapley values by the Shapley kernel: values
+  of coalitions, one least-squares system per row and class; exact when all
+  coalitions are used.
 * ``global_importance`` -- mean |phi| per feature and class, top features.
 
 Path-dependent Tree SHAP, per leaf: with the unique features ``F`` on the
@@ -318,6 +321,109 @@ def permutation_shap(model, explain_rows: DataFrame, background: DataFrame, n_fe
                       F.element_at(fmap, F.col("feature_idx")).alias("feature"), "phi")
 
 
+def coalitions(n_features: int, n_samples: int = 1000, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """(members, weights): all proper coalitions with their Shapley kernel weights if
+    they are no more than ``n_samples``, else a seeded draw of pairs (a coalition
+    and its complement) by the kernel's weight of their size."""
+    d = n_features
+    if 2**d - 2 <= n_samples:
+        members = (np.arange(1, 2**d - 1)[:, None] >> np.arange(d)) & 1
+        size = members.sum(1)
+        weights = np.array([(d - 1) / (math.comb(d, s) * s * (d - s)) for s in size.tolist()])
+        return members.astype(float), weights
+    rng = np.random.default_rng(seed)
+    share = np.array([1.0 / (s * (d - s)) for s in range(1, d)])
+    drawn = rng.choice(np.arange(1, d), size=n_samples // 2, p=share / share.sum())
+    half = np.zeros((len(drawn), d))
+    for k, s in enumerate(drawn):
+        half[k, rng.permutation(d)[:s]] = 1.0
+    members, counts = np.unique(np.vstack([half, 1.0 - half]), axis=0, return_counts=True)
+    return members, counts.astype(float)
+
+
+def shapley_operator(members: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The least-squares system as a matrix: Shapley values = matrix @ (value of each
+    coalition, of none, of all).  They sum to the difference of the last two by construction."""
+    m, d = members.shape
+    none, every = np.zeros(m + 2), np.zeros(m + 2)
+    none[m], every[m + 1] = 1.0, 1.0
+    if d == 1:
+        return (every - none)[None]
+    # the last feature takes what the others leave of the total
+    x = members[:, :-1] - members[:, -1:]
+    y = np.hstack([np.eye(m), np.zeros((m, 2))]) - none - members[:, -1:] * (every - none)
+    xw = x.T * weights
+    first = np.linalg.lstsq(xw @ x, xw @ y, rcond=None)[0]
+    return np.vstack([first, (every - none) - first.sum(0)])
+
+
+def kernel_shap(model, explain_rows: DataFrame, background: DataFrame, n_features: int, n_samples: int = 1000, seed: int = 13,
+                features_col: str = "features", output_col: str = "probability", n_classes: int = 3,
+                feature_names: list[str] | None = None, max_background: int = 10_000) -> DataFrame:
+    """L3: ``row, class, feature, phi`` by the Shapley kernel, against every background row.
+
+    A coalition's value is the mean output with its features from the row and the
+    others from each background row.  The weighted least squares of a row and
+    class, constrained to the total, is linear in these values with the same
+    matrix for all rows: one weighted sum.  All coalitions are used when they are
+    few (62 for six features): the values are then exact.  The row itself is
+    evaluated once, the background once for all rows.
+
+    Models with ``probabilities(matrix)`` are evaluated in Arrow batches, others
+    by their ``transform`` of the exploded points.  ``background`` is collected
+    after a check against ``max_background`` rows."""
+    from postresp.operators.blocks import array_column, matrix
+    bg = background.select(array_column(background, features_col).alias("b")).limit(max_background + 1).collect()
+    if len(bg) > max_background:
+        raise ValueError(f"background set larger than {max_background} rows; sample it first")
+    base = np.array([r.b for r in bg], float).reshape(len(bg), n_features)
+    members, weights = coalitions(n_features, n_samples, seed)
+    solve = shapley_operator(members, weights)
+    names = feature_names or [f"f{j}" for j in range(n_features)]
+    rows = explain_rows.select("row", array_column(explain_rows, features_col).alias("x"))
+    if hasattr(model, "probabilities"):
+        def run(batches):
+            import pyarrow as pa
+            net = model
+            m, nb, d = len(members), len(base), members.shape[1]
+            none = net.probabilities(base).mean(0)
+            per = max(1, 200_000 // max(1, m * nb))
+            for batch in batches:
+                for at in range(0, batch.num_rows, per):
+                    part = batch.slice(at, per)
+                    x = matrix(part.column(1))
+                    points = np.where(members[None, :, None, :] > 0, x[:, None, None, :], base[None, None])
+                    value = net.probabilities(points.reshape(-1, d)).reshape(len(x), m, nb, -1).mean(2)
+                    every = net.probabilities(x)
+                    values = np.concatenate([value, np.broadcast_to(none, (len(x), 1, len(none))), every[:, None]], 1)
+                    phi = np.einsum("jm,rmc->rcj", solve, values)
+                    n, c = len(x), phi.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(part.column(0).to_numpy(), c * d)), pa.array(np.tile(np.repeat(np.arange(c, dtype=np.int32), d), n)),
+                         pa.array(names * (n * c)), pa.array(phi.ravel())], names=["row", "class", "feature", "phi"])
+
+        return rows.mapInArrow(run, "row long, class int, feature string, phi double")
+    from pyspark.ml.functions import array_to_vector
+    # coalition k of the points; the last two stand for none and all
+    every = np.vstack([members, np.zeros(n_features), np.ones(n_features)])
+    member = F.array(*[F.array(*[F.lit(bool(v)) for v in m]) for m in every])
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in b]) for b in base])
+    per_point = np.full(len(every), 1.0 / len(base))
+    per_point[-1] = 1.0                                     # the row itself, once
+    k, b = F.col("k"), F.col("b")
+    points = rows.select("row", "x", F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("k"))
+    points = points.withColumn("b", F.explode(F.when(k == len(every) - 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(len(base) - 1)))))
+    mixed = F.zip_with(F.zip_with(F.get(member, k), "x", lambda m, v: F.struct(m.alias("m"), v.alias("v"))), F.get(table, b),
+                       lambda p, v: F.when(p["m"], p["v"]).otherwise(v))
+    out = model.transform(points.select("row", "k", array_to_vector(mixed).alias(features_col))).withColumn("p", vector_to_array(output_col))
+    # the weight a point's output has in each feature's value
+    share = [F.array(*[F.lit(float(v)) for v in solve[j] * per_point]) for j in range(n_features)]
+    sums = [F.sum(F.get(share[j], k) * F.get("p", F.lit(c))).alias(f"v{c}_{j}") for c in range(n_classes) for j in range(n_features)]
+    wide = out.groupBy("row").agg(*sums)
+    cells = [F.struct(F.lit(c).alias("class"), F.lit(names[j]).alias("feature"), F.col(f"v{c}_{j}").alias("phi")) for c in range(n_classes) for j in range(n_features)]
+    return wide.select("row", F.explode(F.array(*cells)).alias("e")).select("row", "e.*")
+
+
 def global_importance(phi: DataFrame, top: int = 15) -> DataFrame:
     """L4: mean |phi| per (feature, class) for the ``top`` features by total."""
     per = phi.groupBy("feature", "class").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"))

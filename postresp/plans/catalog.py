@@ -374,6 +374,36 @@ splits AS (
   UNION ALL SELECT row, k AS fold, 'test' AS split FROM pairs WHERE fold = k)"""
 
 
+_TRAIN_CUTS = ", ".join(f"quantile_cont({t}, {q}) AS {t}_q{i}" for t in L.TARGETS for i, q in ((1, 0.25), (2, 0.75)))
+_TRAIN_LABELS = ", ".join(
+    f"CASE WHEN trunc({t}) <= {t}_q1 THEN 'small' WHEN trunc({t}) <= {t}_q2 THEN 'moderate' ELSE 'high' END AS {t}_class" for t in L.TARGETS)
+_NUMBERED_CTE = """numbered AS (
+  SELECT replies, likes, retweets, CAST(row_number() OVER (ORDER BY post_id) - 1 AS BIGINT) AS row FROM cleaned),
+folded AS (
+  SELECT *, CAST(ntile(5) OVER (ORDER BY md5('13:' || CAST(row AS VARCHAR)), row) - 1 AS INTEGER) AS fold FROM numbered),
+of_fold AS (SELECT k.k AS fold, replies, likes, retweets FROM folded JOIN range(5) AS k(k) ON k.k <> fold),
+""" + f"train_cuts AS (SELECT CAST(fold AS INTEGER) AS fold, {_TRAIN_CUTS} FROM of_fold GROUP BY fold)"
+
+
+def _numbered_folds(spark, d) -> DataFrame:
+    """``row, fold`` and the numeric responses."""
+    numbered = B.row_number_exact(_clean_ns(spark, d).select("post_id", *L.TARGETS), "post_id")
+    return S.assign_folds(numbered)
+
+
+@register("e1_cut_points_train", with_posts("SELECT * FROM train_cuts", _CLEAN_CTE, _NUMBERED_CTE))
+def e1_cut_points_train(spark, d):
+    """Cut points of each fold from the rows of the other folds."""
+    return L.fold_cut_points(_numbered_folds(spark, d))
+
+
+@register("e2_labels_train", with_posts(
+    f"SELECT row, c.fold AS fold, {_TRAIN_LABELS} FROM numbered CROSS JOIN train_cuts c", _CLEAN_CTE, _NUMBERED_CTE))
+def e2_labels_train(spark, d):
+    """Labels of every row under each fold's training cut points."""
+    return L.fold_labels(_numbered_folds(spark, d))
+
+
 def _folded(spark, d) -> DataFrame:
     """``(row, fold, <target labels>)`` -- narrow: texts are not carried."""
     return S.assign_folds(_prepared_ns(spark, d).select("row", *L.TARGETS))
@@ -579,10 +609,6 @@ def k1_normality(spark, d):
 from postresp.operators import embed as H  # noqa: E402
 from postresp.operators import experiment as X  # noqa: E402
 
-# Rounds for the registered boosted-tree query: one-vs-rest x 5 folds of 250
-# rounds is the slowest item of the grid; the library default stays 250.
-QUERY_GBT_ROUNDS = 10
-
 
 def _splits(spark, d, squeeze: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Prepared posts, folds and splits; the SQL-checked queries leave out squeezing."""
@@ -654,7 +680,16 @@ def i1_rf_oof(spark, d):
 
 @register("i2_gbt_oof")
 def i2_gbt_oof(spark, d):
-    return _oof(spark, d, "XGB", QUERY_GBT_ROUNDS)
+    """250 rounds of joint soft-max boosting, all folds together."""
+    return _oof(spark, d, "XGB")
+
+
+@register("h4_early_stopping_oof")
+def h4_early_stopping_oof(spark, d):
+    """The perceptron of each fold stopped by the loss of the fold's validation rows."""
+    prepared, folded, splits = _splits(spark, d)
+    v = X.Variant("likes", "structured", False, "MLP")
+    return X.out_of_fold(X.feature_table(prepared, folded, None, "structured"), v, splits=splits)
 
 
 @register("i3_ridge_oof")
@@ -700,12 +735,20 @@ def l3_permutation_shap(spark, d):
     """Sampled-permutation Shapley values of the fold-0 MLP for every training
     row, against a 50-row background (the reference's background size),
     1000 permutation samples per row."""
-    model, train, _ = _fold_model(spark, d, "MLP", 0)
+    model, train, _ = _fold_model(spark, d, "SparkMLP", 0)
     background = B.head_rows(train, 50, "row")
     return XP.permutation_shap(model, train, background, len(D.STRUCTURED_FEATURES),
                                n_samples=1000, feature_names=D.STRUCTURED_FEATURES)
 
 
+@register("l3_kernel_shap")
+def l3_kernel_shap(spark, d):
+    """Shapley values of the fold-0 perceptron for every training row: all 62
+    coalitions of the six features against a 50-row background (the reference's size)."""
+    model, train, _ = _fold_model(spark, d, "MLP", 0)
+    return XP.kernel_shap(model, train, B.head_rows(train, 50, "row"), len(D.STRUCTURED_FEATURES), feature_names=D.STRUCTURED_FEATURES)
+
+
 @register("l4_global_importance")
 def l4_global_importance(spark, d):
     """Top-15 features by mean |phi| (Tree SHAP of the fold-0 forest)."""
@@ -714,15 +757,15 @@ def l4_global_importance(spark, d):
 
 @register("l4_importance_of_embeddings", """
 WITH phi AS (SELECT vec_id AS row, CAST(label % 3 AS INTEGER) AS class, 'f' || CAST(j AS VARCHAR) AS feature, CAST(embedding[j + 1] AS DOUBLE) AS phi
-             FROM embeddings, range(20) AS r(j)),
+             FROM embeddings, range(64) AS r(j)),
 per AS (SELECT feature, class, avg(abs(phi)) AS m FROM phi GROUP BY ALL),
 tot AS (SELECT feature, row_number() OVER (ORDER BY round(sum(m), 9) DESC, feature) AS rank FROM per GROUP BY feature)
 SELECT CAST(tot.rank AS INTEGER) AS rank, feature, class, round(m, 6) AS mean_abs_phi FROM per JOIN tot USING (feature) WHERE tot.rank <= 15""")
 def l4_importance_of_embeddings(spark, d):
-    """Global importance of a phi table made of the embeddings' first 20 values."""
+    """Global importance of a phi table made of all values of the embeddings."""
     e = read_table(spark, d, "embeddings")
     phi = e.select(F.col("vec_id").alias("row"), (F.col("label") % 3).cast("int").alias("class"),
-                   F.posexplode(F.slice("embedding", 1, 20)).alias("j", "phi"))
+                   F.posexplode("embedding").alias("j", "phi"))
     phi = phi.select("row", "class", F.concat(F.lit("f"), F.col("j").cast("string")).alias("feature"), F.col("phi").cast("double").alias("phi"))
     return XP.global_importance(phi, 15).withColumn("mean_abs_phi", F.round("mean_abs_phi", 6))
 
