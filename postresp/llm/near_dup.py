@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postresp.llm.common import frugal, id_and_text, mix64, small_slices, stored, text_bytes
@@ -250,14 +250,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: one document of each
-    component, and one row of each repeated id (rows without an id all stay)."""
-    found = stored(near_duplicates(docs, id_col, text_col), "near-duplicates")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    """The rows of ``docs`` that stay, all columns: one of each group of near-duplicate rows.
+
+    A row is a document of its own, whatever its id: rows that share an id and have
+    unrelated texts all stay, copies without an id are found like others.  Of a
+    group the smallest id stays (of equal ids the smallest hash of the text; rows
+    without an id only where no row has one).  Texts without words are linked with
+    nothing, so their rows all stay.
+    """
+    # a number per row, written with it: ids are neither unique nor always there
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("node"), F.struct("*").alias("row")), "numbered-documents")
+    own = rows.select("node", F.col("row")[id_col].cast("long").alias("own_id"), F.col("row")[text_col].cast("string").alias("text"))
+    found = near_duplicates(own, "node").where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id")
+    member = stored(found.join(own.select("node", "own_id", F.xxhash64("text").alias("content")), "node"), "near-duplicates")
+    stays = member.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "content", "node"))["node"].alias("node"))
+    gone = stored(member.select("node").join(stays, "node", "left_anti"), "copies")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    keyed = docs.select(F.col(id_col).cast("long").alias("own_id"), F.xxhash64(F.col(text_col).cast("string")).alias("content"), F.struct("*").alias("row"))
-    left = keyed.join(F.broadcast(gone) if few else gone, F.col("own_id") == F.col("gone_id"), "left_anti")
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = Window.partitionBy("own_id").orderBy("content")
-        left = left.withColumn("nth", F.when(F.col("own_id").isNull(), 1).otherwise(F.row_number().over(first))).where("nth = 1")
-    return left.select("row.*")
+    return rows.join(F.broadcast(gone) if few else gone, "node", "left_anti").select("row.*")

@@ -101,13 +101,39 @@ def test_links_that_no_hub_has(spark):
     assert as_rows(near_duplicates(df)) == brute(rows)
 
 
+def survivors(rows):
+    """Ids that stay (with how many rows), by comparing all pairs of rows."""
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    best = {}
+    for (i, _), s, g in zip(rows, sets, group):
+        if s:
+            best[g] = min(best.get(g, (True, 0)), (i is None, i or 0))
+    return sorted(([None if none else i for none, i in best.values()] + [i for (i, _), s in zip(rows, sets) if not s]), key=repr)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = corpus()
-    df = spark.createDataFrame([(i, t, "e") for i, t in rows], "doc_id long, text string, row string")
-    got = sorted(((r.doc_id, r.text) for r in deduplicated(df).collect()), key=repr)
-    texts = {i: t for i, t in rows}
-    expected = [(i, texts[i]) for i in {x[0] for x in brute(rows) if x[0] == x[2] and x[0] is not None}] + [(None, "a b"), (None, None)]
-    assert got == sorted(expected, key=repr)
+    df = spark.createDataFrame([(i, t, "e", 1) for i, t in rows], "doc_id long, text string, row string, node int")
+    got = deduplicated(df.repartition(5))
+    assert got.columns == df.columns
+    got = got.collect()
+    assert sorted((r.doc_id for r in got), key=repr) == survivors(rows) and {(r.doc_id, r.text) for r in got} <= set(rows)
+
+
+def test_shared_and_missing_ids_lose_no_unrelated_text(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    near = text(1) + " and one more"
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (5, near), (None, text(3)), (None, text(3)), (7, text(3)), (None, text(4)), (None, near),
+            (9, None), (9, None), (9, "")]
+    got = deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, text(1)), (1, text(2)), (7, text(3)), (None, text(4)), *rows[9:]], key=repr)
 
 
 def test_query_equals_brute_force(spark):
