@@ -859,10 +859,11 @@ def a8_report_readback(spark, d):
 
 
 # ------------------------------------------------- grid: I6 -----------------
-# The grid's cells differ by orders of magnitude in cost: ridge is a handful of
-# jobs, a forest dozens, boosting and the perceptron thousands of small ones.
-# The query runs ridge everywhere and the forest on one target (README);
-# run_grid takes all of them alike.
+# The grid's cells differ by orders of magnitude in cost: ridge is one aggregate,
+# a forest dozens of jobs, the perceptron up to 40 where one record holds all
+# rows, boosting one or more a round.  The query runs ridge everywhere, the
+# perceptron where the folds share their features, and the forest on one target
+# (README); run_grid takes all of them alike.
 FOREST_CELLS = [("likes", "structured", False), ("likes", "subword", False), ("likes", "subword", True)]
 TEXT_SETS = ["word2vec", "subword", "batch"]
 
@@ -881,6 +882,7 @@ def _grid_predictions(spark, d) -> DataFrame:
                 per = {k: X.feature_table(prepared, folded, emb, name, fold=k, mixed=mixed) for k in range(5)}
             tables |= {(t, name, mixed): per for t in L.TARGETS}
     variants = [X.Variant(*cell, "Ridge") for cell in tables] + [X.Variant(*cell, "RF") for cell in FOREST_CELLS]
+    variants += [X.Variant(*cell, "MLP") for cell, per in tables.items() if not isinstance(per, dict)]
     return X.run_grid(tables, variants, out_path=_scratch(spark, "grid"), threads=4)
 
 
