@@ -818,6 +818,20 @@ def a2_a5_embedding_sets(spark, d):
     return back.select("target", "feature_set", "fold", "row", F.size("embedding").alias("dim"), F.round(total, 4).alias("total"))
 
 
+@register("a5_replaced_embedding_set", """
+SELECT 'any' AS target, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS feature_set, CAST(label // 2 AS INTEGER) AS fold, vec_id AS row,
+       CAST(len(embedding) // CASE WHEN label % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS dim
+FROM embeddings""")
+def a5_replaced_embedding_set(spark, d):
+    """Two embedding sets written, one replaced by vectors of half the length; the other stays."""
+    path = _scratch(spark, "embedding-replaced")
+    both = _driver_embeddings(spark, d)
+    A.replace_embeddings(both, path)
+    odd = both.where("feature_set = 'odd'")
+    A.replace_embeddings(odd.withColumn("embedding", F.slice("embedding", F.lit(1), F.floor(F.size("embedding") / 2).cast("int"))), path)
+    return A.read_embedding_set(spark, path).select("target", "feature_set", "fold", "row", F.size("embedding").alias("dim"))
+
+
 @register("a2_a5_embeddings_readback")
 def a2_a5_embeddings_readback(spark, d):
     """Write the subword embedding table partitioned, read one set back (pruned)."""
@@ -835,6 +849,31 @@ def a6_a7_results_readback(spark, d):
     return A.read_results(spark, f"{path}/scores")
 
 
+@register("a6_scores_readback", _metric_sql("""
+SELECT variant, 'f1' AS metric, round(avg(CAST(truth = prediction AS DOUBLE)), 3) AS value FROM preds GROUP BY variant
+UNION ALL
+SELECT variant, 'mcc', round(CASE WHEN den = 0 THEN 0.0 ELSE (c * s - pt) / den END, 3) FROM (
+  SELECT variant, sum(tp) AS c, sum(t) AS s, sum(p * t) AS pt,
+         sqrt((sum(t) * sum(t) - sum(p * p)) * (sum(t) * sum(t) - sum(t * t))) AS den
+  FROM tot GROUP BY variant)""", _CONF_CTES))
+def a6_scores_readback(spark, d):
+    """Predictions, scores and the wide export written; the scores read back."""
+    path = _scratch(spark, "scores")
+    A.write_results(cross_target_predictions(spark, d), f"{path}/predictions", scores=f"{path}/scores")
+    return A.read_results(spark, f"{path}/scores")
+
+
+@register("a8_anova_readback", _metric_sql("""
+SELECT 'C(treatments)' AS source, round(ss_b, 8) AS sum_sq, CAST(df_b AS BIGINT) AS df FROM a
+UNION ALL SELECT 'Residual', round(ss_w, 8), CAST(df_w AS BIGINT) FROM a""", _FOLD_F1_CTE, _ANOVA_CTES))
+def a8_anova_readback(spark, d):
+    """The report's analysis of variance written and read back."""
+    path = _scratch(spark, "anova")
+    A.write_report(path, anova=K.anova_oneway(_melted(spark, d), with_p=False))
+    back = spark.read.json(f"{path}/anova")
+    return back.select("source", F.round(F.col("sum_sq").cast("double"), 8).alias("sum_sq"), F.col("df").cast("long").alias("df"))
+
+
 @register("a7_results_side_by_side", _metric_sql(
     "SELECT variant, fold, row, truth, prediction FROM preds WHERE NOT contains(variant, '_from_replies')"))
 def a7_results_side_by_side(spark, d):

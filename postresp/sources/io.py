@@ -91,6 +91,14 @@ def write_embeddings(emb: DataFrame, path: str) -> None:
     write_table(emb, path, partition_by=["target", "feature_set", "fold"])
 
 
+def replace_embeddings(emb: DataFrame, path: str) -> None:
+    """A5: write embedding sets into a dataset, replacing just the (target, feature
+    set, fold) partitions that ``emb`` holds; a run that is repeated writes the
+    same partitions anew, and those of other sets stay as they are."""
+    (emb.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("target", "feature_set", "fold").parquet(path))
+
+
 def read_embedding_set(spark: SparkSession, path: str, feature_set: str | None = None,
                        fold: int | None = None, target: str | None = None) -> DataFrame:
     """A2: one embedding set; filters on partition columns prune directories."""
@@ -104,15 +112,17 @@ def read_embedding_set(spark: SparkSession, path: str, feature_set: str | None =
     return df
 
 
-def write_results(pred: DataFrame, path: str, pivot_csv: str | None = None, scores: str | None = None) -> None:
+def write_results(pred: DataFrame, path: str, pivot_csv: str | None = None, scores: str | None = None,
+                  variants: list[str] | None = None) -> None:
     """Long predictions partitioned by variant; optionally the scores
-    ``(variant, metric, value)`` and a wide CSV with one column per variant."""
+    ``(variant, metric, value)`` and a wide CSV with one column per variant
+    (``variants`` names them, which saves the job that finds them)."""
     write_table(pred, path, partition_by=["variant"])
     if scores:
         both = micro_f1(pred).join(mcc(pred), "variant").unpivot("variant", ["f1", "mcc"], "metric", "value")
         write_table(both, scores)
     if pivot_csv:
-        wide = pred.groupBy("fold", "row").pivot("variant").agg(F.first("prediction"))
+        wide = pred.groupBy("fold", "row").pivot("variant", variants).agg(F.first("prediction"))
         write_table(wide, pivot_csv, fmt="csv")
 
 

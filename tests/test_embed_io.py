@@ -115,3 +115,19 @@ def test_batch_and_word2vec_folds(spark):
         e = H.fold_embeddings(prepared, splits, name, dim=8)
         assert e.groupBy("fold").count().orderBy("fold").collect() == [(k, 60) for k in range(5)]
         assert e.where(F.size("embedding") != 8).count() == 0
+
+
+def test_replacing_a_set_leaves_the_files_of_others(spark, tmp_path):
+    path = str(tmp_path / "sets")
+    rows = [("likes", s, f, i, [float(i)]) for s in ("a", "b") for f in (0, 1) for i in range(6)]
+    schema = "target string, feature_set string, fold int, row long, embedding array<float>"
+    A.replace_embeddings(spark.createDataFrame(rows, schema), path)
+    files = lambda s: {p: p.stat().st_mtime_ns for p in (tmp_path / "sets").glob(f"target=likes/feature_set={s}/**/*.parquet")}
+    before, old = files("a"), files("b")
+    new = spark.createDataFrame([("likes", "b", 1, 9, [1.0, 2.0])], schema)
+    for _ in range(2):                                   # a run that is repeated changes nothing
+        A.replace_embeddings(new, path)
+        assert files("a") == before
+        got = sorted((r.feature_set, r.fold, r.row) for r in A.read_embedding_set(spark, path).collect())
+        assert got == sorted([(s, f, i) for _, s, f, i, _ in rows if (s, f) != ("b", 1)] + [("b", 1, 9)])
+    assert {p for p in files("b") if "fold=0" in str(p)} == {p for p in old if "fold=0" in str(p)}
