@@ -1,10 +1,11 @@
 """Sliding sentence spans (operator 3).
 
 A sentence ends after a word that ends in ``.``, ``!`` or ``?``, at a line
-feed, or with the text.  From every sentence the run of ``SENTENCES`` sentences
-that begins with it is taken, however short its sentences are (``WORDS`` is 1:
-no limit); a longer run that is repeated consists of such runs, all of them
-repeated.  Runs are compared by two hashes of their words, A-Z lower-cased, over
+feed, or with the text.  From every sentence, forwards and backwards, the
+shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words that begins
+or ends with it is taken; a longer run that is repeated consists of such runs,
+all of them repeated.  (Without a number of words, two interjections in a row
+would make clean documents lose text: figures in the README.)  Runs are compared by two hashes of their words, A-Z lower-cased, over
 the whole table; every run but the first of its kind (smaller id, then earlier)
 is repeated, and sentences covered by a repeated run that is not the first are
 removed with the white space after them.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from postresp.llm.spans import LOWER, Hashes, owners, word_spans
 from postresp.llm.suffix_dedup import _LAST, _batch, _keyed, _later, _merged
 
 SENTENCES = 2
-WORDS = 1                #: words of a run at least
+WORDS = 10               #: words of a run at least
 SLICE = 1 << 20
 LOCAL = 1 << 18          #: runs that a task combines at a time
 _NAMES = ["gram", "block", "doc", "tie", "start", "size"]
@@ -63,14 +65,14 @@ class Sentences:
         self.begin = starts[self.of] if n else np.zeros(0, np.int64)
         self.words = (starts, ends)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, words: int) -> tuple[np.ndarray, np.ndarray]:
         """(first, last) sentence of every run, each pair once."""
         n = len(self.of)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.arange(n)
-        ahead = np.maximum(at + SENTENCES - 1, np.searchsorted(self.to, self.of + WORDS))
-        back = np.minimum(at - SENTENCES + 1, np.searchsorted(self.of, self.to - WORDS, side="right") - 1)
+        ahead = np.maximum(at + SENTENCES - 1, np.searchsorted(self.to, self.of + words))
+        back = np.minimum(at - SENTENCES + 1, np.searchsorted(self.of, self.to - words, side="right") - 1)
         a = np.concatenate([at, back])
         b = np.concatenate([ahead, at])
         good = (a >= 0) & (b < n)
@@ -84,7 +86,7 @@ class Sentences:
         return tuple(Hashes(mix64(lower + np.uint64(k)))(self.of[a], self.to[b]) for k in (1, 2))
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Runs of all texts: the first of each kind in the task, and stretches of
     sentences (``size`` -1, ``block`` the end) covered by the others."""
     held: list[dict[str, np.ndarray]] = []
@@ -101,7 +103,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in small_slices(batches, 2, SLICE):
         s = Sentences(batch.column(2))
-        a, b = s.runs()
+        a, b = s.runs(words)
         one, two = s.hashes(a, b)
         doc = s.doc[a]
         base = s.first[doc]
@@ -128,10 +130,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _batch(["doc", "tie", "start", "end"], list(_merged(*(np.concatenate(c) for c in zip(*stretches)))))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in small_slices(batches, 2, SLICE):
         s = Sentences(batch.column(2))
-        a, b = s.runs()
+        a, b = s.runs(words)
         ids, copies, spans = (batch.column(i).to_pylist() for i in (0, 1, 3))
         out: list[tuple] = []
         for d, (doc, copy) in enumerate(zip(ids, copies)):
@@ -152,14 +154,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "n_sentences", "n_removed", "kept_sha256", "text"])
 
 
-def sentence_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sentence_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, n_sentences, n_removed, kept_sha256, text`` of each row; the
     text is what is left, to the byte."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed, _ = _keyed(docs, id_col, text_col)
     keyed = keyed.select("doc", "tie", "copy", "text")
-    runs = keyed.where("copy = 1").select("doc", "tie", "text").mapInArrow(frugal(_found), _ROW).repartition(n, "gram")
+    runs = keyed.where("copy = 1").select("doc", "tie", "text").mapInArrow(frugal(partial(_found, words=words)), _ROW).repartition(n, "gram")
     stretches = runs.mapInArrow(frugal(_repeated), "doc long, tie long, start long, end long")
     spans = stretches.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = keyed.join(spans, ["doc", "tie"], "left").select("doc", "copy", "text", "spans")
-    return rows.mapInArrow(frugal(_cut), "doc_id long, n_sentences long, n_removed long, kept_sha256 string, text string")
+    return rows.mapInArrow(frugal(partial(_cut, words=words)), "doc_id long, n_sentences long, n_removed long, kept_sha256 string, text string")

@@ -112,6 +112,18 @@ def test_short_runs_are_found_whatever_stands_around_them(spark):
             (4, "Eta a b. Theta c d. Iota e f. Kappa g h."),
             (5, "Lambda.\nTheta c d. Iota e f. Kappa g h.\nMu.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_removed, r.text) for r in sentence_dedup.sentence_dedup(df).collect()}
+    got = {r.doc_id: (r.n_removed, r.text) for r in sentence_dedup.sentence_dedup(df, words=1).collect()}
     assert got == {1: (0, rows[0][1]), 2: (2, "Gamma is other here. Delta differs as well."), 3: (0, rows[2][1]),
                    4: (0, rows[3][1]), 5: (3, "Lambda.\nMu.")}
+
+
+def test_runs_go_on_until_they_have_enough_words(spark):
+    shared = "Oh, yes. Go on! It was said before by all of them."
+    rows = [(1, "First it stands here alone. " + shared + " Then more of it."),
+            (2, "Oh, yes. Go on! Nothing else is known of this one."),
+            (3, "Some other text here. " + shared + " And its end."),
+            (4, "Ah. So. " * 3), (5, "Ah. So. " * 3 + "The rest differs from that.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.text) for r in sentence_dedup.sentence_dedup(df).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (0, rows[1][1]), 3: (3, "Some other text here. And its end."),
+                   4: (0, rows[3][1]), 5: (0, rows[4][1])}
