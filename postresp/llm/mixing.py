@@ -9,6 +9,11 @@ source is a pseudorandom permutation of its block numbers, keyed by seed,
 source and pass, so that no block is drawn again before all others were.  Slots
 and blocks are joined by (source, block number).
 
+The number of sources is not bounded (hosts, authors), so they stay in a table:
+targets are found by a rate per weight that a few aggregates settle, and draws
+go down a tree of ``FAN`` sources a node, each node dealing the slots that its
+parent drew for it.  The driver sees sums only.
+
 Defined results: a null source is a source of its own, last in order; null and
 empty texts have size 0 and are never taken; documents of equal id are ordered
 by their text's hash, and repeated rows are streamed one by one (``mixed_texts``
@@ -24,16 +29,19 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postresp.llm.common import frugal, mix64, small_slices, stored, WORD_PATTERN
+from postresp.operators.frame import row_number_exact
 
 BLOCK = 128
 SHARDS = 256
 CHUNKS = 1024        #: pieces in which a source's running word count is worked out
+FAN = 1024           #: sources (or nodes of sources) dealt to in one task
 SLOT_CHUNK = 50_000  #: slots that one input row of the permutation step stands for
 
 
@@ -47,26 +55,30 @@ class Mix:
     seed: int = 20
 
 
-def targets(sizes: Sequence[int], mix: Mix = Mix()) -> list[float]:
-    """Words each source gives: the total shared by weight, stopped at ``most``
-    times the source's size, the excess shared again until none is above."""
-    n = len(sizes)
-    weights = [mix.weights[i % len(mix.weights)] for i in range(n)]
-    caps = [mix.most * s for s in sizes]
-    total = min(mix.share * sum(sizes), sum(caps))
-    out, open_ = [0.0] * n, [i for i in range(n) if caps[i]]
-    while open_:
-        rate = total / sum(weights[i] for i in open_)
-        full = [i for i in open_ if weights[i] * rate >= caps[i]]
-        if not full:
-            for i in open_:
-                out[i] = weights[i] * rate
+def with_targets(sources: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """``sources`` (``number, source_size``) with ``target``, the words each gives:
+    the total shared by weight, stopped at ``most`` times the source's size, the
+    excess shared again until none is above.
+
+    The targets are ``least(cap, weight * rate)``.  The rate rises from the total
+    over all weights: each aggregate sums, per weight, the sources below their cap
+    and the caps of the others, until no more sources are full."""
+    k = len(mix.weights)
+    place = F.pmod("number", F.lit(k)).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in mix.weights]), place + 1)
+    cap = F.col("source_size") * mix.most
+    words, caps = sources.agg(F.sum("source_size"), F.sum(cap)).first()
+    total, rate, full = min(mix.share * (words or 0), caps or 0), 0.0, -1
+    while True:
+        stopped = weight * F.lit(rate) >= cap
+        sums = sources.where("source_size > 0").groupBy(place.alias("place")).agg(
+            F.count_if(~stopped).alias("open"), F.coalesce(F.sum(F.when(stopped, cap)), F.lit(0)).alias("caps"),
+            F.count_if(stopped).alias("full")).collect()          # a row per weight
+        now, share = sum(r.full for r in sums), sum(mix.weights[r.place] * r.open for r in sums)
+        if now == full or not share:
             break
-        for i in full:
-            out[i] = float(caps[i])
-            total -= caps[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+        full, rate = now, (total - sum(r.caps for r in sums)) / share
+    return sources.withColumn("target", F.least(cap.cast("double"), weight * F.lit(rate)))
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -86,13 +98,13 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) block counts; columns sum to the quotas."""
-    rng = np.random.default_rng(seed)
+def dealt(quotas: np.ndarray, wanted: Sequence[int], rng: np.random.Generator) -> np.ndarray:
+    """(shards, sources) counts: shard by shard a multinomial draw of ``wanted``
+    with the open quotas as weights; columns sum to the quotas."""
     left = np.array(quotas, np.int64)
-    out = np.zeros((shards, len(left)), np.int64)
-    for h in range(shards):
-        want = int(left.sum()) // (shards - h)
+    out = np.zeros((len(wanted), len(left)), np.int64)
+    for h, want in enumerate(wanted):
+        want = int(want)
         while want:
             drawn = np.minimum(rng.multinomial(want, left / left.sum()), left)
             out[h] += drawn
@@ -101,42 +113,82 @@ def shard_counts(quotas: Sequence[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def even(total: int, shards: int) -> list[int]:
+    """``total`` slots as shards of sizes that differ by one at most."""
+    return [total // shards + (h >= shards - total % shards) for h in range(shards)]
+
+
 def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``doc_id, source, content, size, chunk``: the only pass over the texts."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        F.xxhash64(F.coalesce(text, F.lit(""))).alias("content"),
                        F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
-    return stored(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS)).cast("int")), "mix-sizes")
+    return stored(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "content"), F.lit(CHUNKS)).cast("int")), "mix-sizes")
 
 
 def _streams(rows: DataFrame) -> DataFrame:
     """``doc_id, source, content, size, start``: each document's place in its
     source's stream of words; a running sum per piece plus the pieces' offsets,
-    so no source is one group."""
+    so no source is one group.  Repeated rows are one row of the running sum."""
+    rows = rows.groupBy("source", "chunk", "doc_id", "content", "size").agg(F.count(F.lit(1)).alias("copies"))
     before = Window.partitionBy("source", "chunk").orderBy("doc_id", "content").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = rows.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
+    pieces = rows.groupBy("source", "chunk").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
-    return (rows.withColumn("within", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return (rows.withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0)))
             .join(pieces, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-            .select("doc_id", "source", "content", "size", (F.col("base") + F.col("within")).alias("start")))
-
-
-def _draws(spark: SparkSession, sizes: list[int], wanted: list[float], mix: Mix) -> DataFrame:
+            .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+            .select("doc_id", "source", "content", "size", (F.col("base") + F.col("within") + F.col("copy") * F.col("size")).alias("start")))
+
+
+def shard_plan(quotas: DataFrame, n_sources: int, mix: Mix) -> DataFrame:
+    """``number, blocks, shard, first, place, slots`` from ``number, quota, blocks``:
+    how many slots of each shard a source fills, after how many of its own in
+    earlier shards (``first``) and of other sources in the shard (``place``)."""
+    shards, seed, fan = mix.shards, mix.seed, FAN
+
+    def deal(node: int, level: int, children: pd.DataFrame, parent: pd.DataFrame) -> tuple:
+        children = children.sort_values("node")
+        quota = children["quota"].to_numpy(np.int64)
+        wanted = parent["counts"].iloc[0] if len(parent) else even(int(quota.sum()), shards)
+        places = np.asarray(parent["places"].iloc[0] if len(parent) else np.zeros(shards), np.int64)
+        counts = dealt(quota, wanted, np.random.default_rng([seed, level, node]))
+        return children, counts, np.cumsum(counts, axis=1) - counts + places[:, None]
+
+    def inner(level: int):
+        def run(key: tuple, children: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
+            children, counts, places = deal(int(key[0]), level, children, parent)
+            return pd.DataFrame({"node": children["node"].to_numpy(), "counts": list(counts.T), "places": list(places.T)})
+        return run
+
+    def leaves(key: tuple, children: pd.DataFrame, parent: pd.DataFrame) -> pd.DataFrame:
+        children, counts, places = deal(int(key[0]), 0, children, parent)
+        at, shard = np.nonzero(counts.T)
+        firsts = np.cumsum(counts, axis=0) - counts
+        return pd.DataFrame({"number": children["node"].to_numpy()[at], "blocks": children["blocks"].to_numpy()[at], "shard": shard,
+                             "first": firsts[shard, at], "place": places[shard, at], "slots": counts[shard, at]})
+
+    tree = [quotas.where("quota > 0").select(F.col("number").alias("node"), "quota", "blocks")]
+    while fan ** len(tree) < n_sources:
+        tree.append(tree[-1].groupBy(F.expr(f"node div {fan}").alias("node")).agg(F.sum("quota").alias("quota")))
+    parents = quotas.sparkSession.createDataFrame([], "node long, counts array<long>, places array<long>")   # the root has none
+    for level in range(len(tree) - 1, -1, -1):
+        pairs = tree[level].groupBy(F.expr(f"node div {fan}").alias("parent")).cogroup(parents.groupBy("node"))
+        if level:
+            parents = pairs.applyInPandas(inner(level), "node long, counts array<long>, places array<long>")
+    return pairs.applyInPandas(leaves, "number long, blocks long, shard int, first long, place long, slots long")
+
+
+def _draws(sources: DataFrame, n_sources: int, mix: Mix) -> DataFrame:
     """``number, block, shard, slot``: one row per slot of the mix; ``number``
     is the source's place in order."""
-    blocks = [-(-s // mix.block) for s in sizes]
-    quotas = [round(t * n / s) if s else 0 for t, n, s in zip(wanted, blocks, sizes)]
-    counts = shard_counts(quotas, mix.shards, mix.seed)
-    firsts = np.cumsum(counts, axis=0) - counts                     # slots of the source in earlier shards
-    places = np.cumsum(counts, axis=1) - counts                     # slots of other sources in the shard
-    plan = [(i, blocks[i], h, int(firsts[h, i]), int(places[h, i]), int(counts[h, i]))
-            for h in range(mix.shards) for i in range(len(sizes)) if counts[h, i]]
-    names = "number int, blocks long, shard int, first long, place long, slots long"
-    rows = spark.createDataFrame(plan, names)      # at most shards x sources rows
+    blocks = F.ceil(F.col("source_size") / mix.block)
+    quotas = sources.where("source_size > 0").select("number", F.rint(F.col("target") * blocks / F.col("source_size")).cast("long").alias("quota"),
+                                                     blocks.alias("blocks"))
+    rows = shard_plan(quotas, n_sources, mix)      # at most shards x sources rows, no more than slots
     rows = rows.withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_CHUNK).cast("long"))))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(tasks, "number", "shard", "skip")
     seed = mix.seed
 
@@ -151,10 +203,10 @@ def _draws(spark: SparkSession, sizes: list[int], wanted: list[float], mix: Mix)
                     key = int(mix64(np.array([seed * 0x9E3779B1 + number * 0x10001 + turn * 0x100000001], np.uint64))[0])
                     block[own] = permuted(slot[own] % n, n, key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(slot), number, np.int32)), pa.array(block), pa.array(np.full(len(slot), shard, np.int32)),
+                    [pa.array(np.full(len(slot), number, np.int64)), pa.array(block), pa.array(np.full(len(slot), shard, np.int32)),
                      pa.array(place + offset)], names=["number", "block", "shard", "slot"])
 
-    return rows.mapInArrow(frugal(draw), "number int, block long, shard int, slot long")
+    return rows.mapInArrow(frugal(draw), "number long, block long, shard int, slot long")
 
 
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text",
@@ -166,16 +218,13 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     the document that ``(number, start)`` names).  Second: ``doc_id, content,
     source, size, start, number, source_size, target``, a row per row of ``docs``.
     """
-    spark = docs.sparkSession
     rows = _sizes(docs, id_col, text_col, source_col)
     streams = _streams(rows)
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("n"))
-    # one row per source; strings compare by code point
-    found = sorted(((r.source is None, r.source or "", r.n) for r in per_source.collect()))
-    sizes = [x[2] for x in found]
-    wanted = targets(sizes, mix)
-    table = spark.createDataFrame([(None if x[0] else x[1], i, x[2], t) for i, (x, t) in enumerate(zip(found, wanted))],
-                                  "s string, number int, source_size long, target double")
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # strings compare by code point; null is last
+    numbered = stored(row_number_exact(per_source, [F.col("source").isNull(), F.col("source")], "number"), "mix-sources")
+    sources = with_targets(numbered, mix)
+    table = sources.withColumnRenamed("source", "s")
     placed = (streams.join(table, F.col("source").eqNullSafe(F.col("s")))
               .select("doc_id", "content", "source", "size", "start", "number", "source_size", "target"))
     first, last = F.expr(f"start div {mix.block}"), F.expr(f"(start + size - 1) div {mix.block}")
@@ -184,7 +233,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     end = F.least((F.col("block") + 1) * mix.block, F.col("start") + F.col("size"))
     parts = parts.select("number", "block", "start", "doc_id", "content", (begin - F.col("start")).alias("from_word"), (end - begin).alias("n_words"))
     # both sides grow with the input, and the draws' size is not known before they are made: never broadcast
-    mixed = _draws(spark, sizes, wanted, mix).hint("merge").join(parts, ["number", "block"])
+    mixed = _draws(sources, numbered.count(), mix).hint("merge").join(parts, ["number", "block"])
     return mixed.select("shard", "slot", "number", "block", "start", "doc_id", "content", "from_word", "n_words"), placed
 
 
@@ -235,8 +284,7 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     keyed = docs.select(F.coalesce(doc_id, F.lit(0)).alias("d"), doc_id.isNull().alias("no_id"),
                         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("content"),
                         F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-    joined = keyed.join(parts, ["d", "no_id", "content"])
-    joined = joined.withColumn("copy", F.row_number().over(Window.partitionBy("d", "no_id", "content").orderBy(F.lit(0)))).where("copy = 1")
+    joined = keyed.dropDuplicates(["d", "no_id", "content"]).join(parts, ["d", "no_id", "content"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_slices(batches, 0, 4 << 20):
