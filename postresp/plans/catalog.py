@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from postresp.functions import text as T
 from postresp.operators import labels as L
-from postresp.operators.clean import after_year, clean_posts, dedup_first
+from postresp.operators.clean import after_year, clean_posts, dedup_first, marked_posts
 from postresp.plans import oracle_sql as O
 from postresp.plans.prepare import CUTOFF_YEAR, cleaned_posts, prepare_posts
 from postresp.session import scratch_path, stored
@@ -297,12 +297,11 @@ UNION ALL SELECT 'after_year', count(*) FROM posts WHERE year IS NULL OR year >
 UNION ALL SELECT 'after_removal', count(*) FROM cleaned_nd
 UNION ALL SELECT 'after_dedup', count(*) FROM cleaned""", _CLEAN_ND_CTE, _CLEAN_CTE))
 def b9_stage_ledger(spark, d):
-    p = posts(spark, d)
-    year = F.col("year")
-    removed = clean_posts(after_year(p, CUTOFF_YEAR), squeeze=False, dedup=False)
-    return B.stage_ledger([
-        (p, {"posts": F.count(F.lit(1)), "after_year": F.count_if(year.isNull() | (year > CUTOFF_YEAR))}),
-        (removed, {"after_removal": F.count(F.lit(1)), "after_dedup": F.countDistinct("text")})])
+    """All four stages counted in one pass over the posts."""
+    marked = marked_posts(posts(spark, d), CUTOFF_YEAR, squeeze=False)
+    return B.stage_ledger([(marked, {
+        "posts": F.count(F.lit(1)), "after_year": F.count_if("_in_years"), "after_removal": F.count_if("_kept"),
+        "after_dedup": F.countDistinct("_text")})])
 
 
 # ------------------------------------------------- structured features: D ---
@@ -441,6 +440,20 @@ def g1_attach_embeddings(spark, d):
                     F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("emb_dim"), "label")
 
 
+@register("g1_bucketed_feature_table", _prep_sql(
+    "SELECT p.row, f.fold, CAST(len(e.embedding) AS INTEGER) + 6 AS n_features, "
+    "round(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total "
+    "FROM prepared p JOIN folds f USING (row) JOIN embeddings e ON e.vec_id = p.row", _FOLDS_CTE))
+def g1_bucketed_feature_table(spark, d):
+    """Posts, folds and embeddings written once in buckets of ``row``; the feature
+    table, as every other one of the grid, is then a join without a shuffle."""
+    emb = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "embedding", F.lit("vectors").alias("feature_set"))
+    base, emb = X.grid_inputs(_prepared_ns(spark, d), _folded(spark, d), emb)
+    table = X.feature_table(base, None, emb, "vectors", mixed=True)
+    part = F.slice("features", F.lit(1), F.size("features") - len(D.STRUCTURED_FEATURES))
+    return table.select("row", "fold", F.size("features").alias("n_features"), F.round(F.aggregate(part, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
 @register("g3_fold_parts", _prep_sql(
     "SELECT f.row, CAST(k.k AS INTEGER) AS k, CASE WHEN f.fold = k.k THEN 'test' ELSE 'train' END AS part "
     "FROM folds f CROSS JOIN range(5) AS k(k)", _FOLDS_CTE))
@@ -910,15 +923,15 @@ TEXT_SETS = ["word2vec", "subword", "batch"]
 def _grid_predictions(spark, d) -> DataFrame:
     """Feature groups I-III: structured, each text set, each with the structured block."""
     prepared, folded, splits = _splits(spark, d)
-    prepared, folded = stored(prepared, "grid-prepared"), stored(folded.select("row", "fold"), "grid-folds")
-    tables = {(t, "structured", False): X.feature_table(prepared, folded, None, "structured") for t in L.TARGETS}
+    base, _ = X.grid_inputs(prepared, folded, None)
+    tables = {(t, "structured", False): X.feature_table(base, None, None, "structured") for t in L.TARGETS}
     for name in TEXT_SETS:
-        emb = stored(H.fold_embeddings(prepared, splits, name), f"grid-{name}")
+        emb = A.write_bucketed(H.fold_embeddings(prepared, splits, name), f"grid_{name}")
         for mixed in (False, True):
             if name == "batch":     # the same vectors in every fold
-                per = X.feature_table(prepared, folded, emb, name, fold=0, mixed=mixed)
+                per = X.feature_table(base, None, emb, name, fold=0, mixed=mixed)
             else:
-                per = {k: X.feature_table(prepared, folded, emb, name, fold=k, mixed=mixed) for k in range(5)}
+                per = {k: X.feature_table(base, None, emb, name, fold=k, mixed=mixed) for k in range(5)}
             tables |= {(t, name, mixed): per for t in L.TARGETS}
     variants = [X.Variant(*cell, "Ridge") for cell in tables] + [X.Variant(*cell, "RF") for cell in FOREST_CELLS]
     variants += [X.Variant(*cell, "MLP") for cell, per in tables.items() if not isinstance(per, dict)]

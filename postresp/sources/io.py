@@ -7,12 +7,15 @@ split / variant) and push filters into the scan.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postresp.operators.labels import TARGETS
 from postresp.operators.metrics import mcc, micro_f1
+from postresp.session import scratch_path
 
 POSTS_SCHEMA = T.StructType([
     T.StructField("post_id", T.LongType()),
@@ -91,6 +94,17 @@ def write_embeddings(emb: DataFrame, path: str) -> None:
     write_table(emb, path, partition_by=["target", "feature_set", "fold"])
 
 
+def write_bucketed(df: DataFrame, name: str, key: str = "row", buckets: int | None = None) -> DataFrame:
+    """``df`` as a table in ``buckets`` of ``key``, one sorted file each, below the
+    shared folder; tables of equal bucket number join on ``key`` without a shuffle."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(n, key).write.bucketBy(n, key).sortBy(key).format("parquet")
+     .option("path", scratch_path(spark, table)).saveAsTable(table))
+    return spark.table(table)
+
+
 def replace_embeddings(emb: DataFrame, path: str) -> None:
     """A5: write embedding sets into a dataset, replacing just the (target, feature
     set, fold) partitions that ``emb`` holds; a run that is repeated writes the

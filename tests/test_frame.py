@@ -63,3 +63,47 @@ def test_rank_within_large_and_null_groups(spark):
     assert got.exceptAll(ref).count() == 0 and got.count() == 3000
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_one_pass_ledger(spark):
+    """Every stage counted by filtering frame after frame; the query's plan reads each table once."""
+    from postresp.operators.clean import after_year, clean_posts, marked_posts
+    from postresp.plans.catalog import b9_stage_ledger
+    from tests.conftest import SF_SMALL
+    long = "the quick brown foxes jump over many lazy sleeping dogs near rivers"
+    rows = [(1, long, 2018), (2, long, 2019), (3, long, 2010), (4, None, 2018), (5, "short", 2018), (6, "DELETE " + long, 2018),
+            (7, long + "  again", None), (8, "", None), (9, long + " again", 2020), (10, "only old  " + long, 2015)]
+    df = spark.createDataFrame(rows, "post_id long, text string, year int")
+    kept = clean_posts(after_year(df, 2016), dedup=False)
+    marked = marked_posts(df, 2016)
+    led = {r.stage: r.n_rows for r in B.stage_ledger([(marked, {
+        "posts": F.count(F.lit(1)), "after_year": F.count_if("_in_years"), "after_removal": F.count_if("_kept"),
+        "after_dedup": F.countDistinct("_text")})]).collect()}
+    assert led == {"posts": 10, "after_year": 8, "after_removal": kept.count(), "after_dedup": clean_posts(after_year(df, 2016)).count()}
+    assert led["after_removal"] == 4 and led["after_dedup"] == 2
+    empty = {r.stage: r.n_rows for r in B.stage_ledger([(marked_posts(df.limit(0), 2016), {"all": F.count(F.lit(1)), "kept": F.count_if("_kept")})]).collect()}
+    assert empty == {"all": 0, "kept": 0}
+    plan = b9_stage_ledger(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(c) <= 1 for c in ("Relation [doc_id", "Relation [o_orderkey", "Relation [l_orderkey")), plan
+
+
+def test_feature_tables_join_buckets_without_a_shuffle(spark):
+    from postresp.operators.experiment import grid_inputs
+    from postresp.plans import catalog as C
+    from tests.conftest import SF_SMALL
+    posts = C._prepared_ns(spark, SF_SMALL)
+    folds = C._folded(spark, SF_SMALL)
+    emb = posts.select("row", F.array(F.col("row").cast("double"), F.lit(0.5)).alias("embedding"), F.lit("v").alias("feature_set"),
+                       (F.col("row") % 2).cast("int").alias("fold"))
+    base, vectors = grid_inputs(posts, folds, emb, buckets=5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = C.X.feature_table(base, None, vectors, "v", fold=1, mixed=True)
+        rows = sorted((r.row, r.features) for r in got.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan, plan
+        plain = C.X.feature_table(posts, folds, emb, "v", fold=1, mixed=True)
+        assert rows == sorted((r.row, r.features) for r in plain.collect()) and rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
