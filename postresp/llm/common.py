@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: folders of the tables written inside a ``passing_tables`` block
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``stored`` wrote inside, but for tables marked
+    ``stays``: only for blocks whose results are all written tables."""
+    paths: list[str] = []
+    token = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     back: cuts the lineage and survives the loss of executors."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    if not stays and (paths := _PASSING.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postresp.llm.common import frugal, id_and_text, mix64, small_slices, stored, text_bytes
+from postresp.llm.common import frugal, id_and_text, mix64, passing_tables, small_slices, stored, text_bytes
 from postresp.llm.graph import components
 from postresp.llm.spans import LOWER, Hashes, owners, word_spans
 
@@ -261,9 +261,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a number per row, written with it: ids are neither unique nor always there
     rows = stored(docs.select(F.monotonically_increasing_id().alias("node"), F.struct("*").alias("row")), "numbered-documents")
     own = rows.select("node", F.col("row")[id_col].cast("long").alias("own_id"), F.col("row")[text_col].cast("string").alias("text"))
-    found = near_duplicates(own, "node").where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id")
-    member = stored(found.join(own.select("node", "own_id", F.xxhash64("text").alias("content")), "node"), "near-duplicates")
-    stays = member.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "content", "node"))["node"].alias("node"))
-    gone = stored(member.select("node").join(stays, "node", "left_anti"), "copies")
+    with passing_tables(docs.sparkSession):     # the result reads the numbered rows and the numbers of the copies
+        found = near_duplicates(own, "node").where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id")
+        member = stored(found.join(own.select("node", "own_id", F.xxhash64("text").alias("content")), "node"), "near-duplicates")
+        stays = member.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "content", "node"))["node"].alias("node"))
+        gone = stored(member.select("node").join(stays, "node", "left_anti"), "copies", stays=True)
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(gone) if few else gone, "node", "left_anti").select("row.*")

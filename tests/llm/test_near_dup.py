@@ -154,3 +154,16 @@ def test_components_of_chains_stars_and_loops(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).count() == 0 and deduplicated(df).count() == 0
+
+
+def test_dedup_leaves_only_the_tables_its_result_reads(spark):
+    import os
+
+    from postresp.session import checkpoint_dir
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, text), (2, text + " eleven"), (3, "other words stand here")], "doc_id long, text string")
+    got = sorted(r.doc_id for r in near_dup.deduplicated(df).collect())
+    new = sorted(n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before)
+    assert got == [1, 3] and new == ["copies", "numbered-documents"]
