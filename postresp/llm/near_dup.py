@@ -258,13 +258,21 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     without an id only where no row has one).  Texts without words are linked with
     nothing, so their rows all stay.
     """
-    # a number per row, written with it: ids are neither unique nor always there
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("node"), F.struct("*").alias("row")), "numbered-documents")
+    own_id = F.col(id_col).cast("long")
+    repeated = docs.groupBy(own_id.alias("own_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR own_id IS NULL")
+    if named := not repeated.limit(1).count():
+        rows = docs.select(own_id.alias("node"), F.struct("*").alias("row"))
+    else:                                       # a number per row, written with it
+        rows = stored(docs.select(F.monotonically_increasing_id().alias("node"), F.struct("*").alias("row")), "numbered-documents")
     own = rows.select("node", F.col("row")[id_col].cast("long").alias("own_id"), F.col("row")[text_col].cast("string").alias("text"))
-    with passing_tables(docs.sparkSession):     # the result reads the numbered rows and the numbers of the copies
+    with passing_tables(docs.sparkSession):     # the result reads the rows and the numbers of the copies
         found = near_duplicates(own, "node").where("n_shingles > 0").select(F.col("doc_id").alias("node"), "component_id")
-        member = stored(found.join(own.select("node", "own_id", F.xxhash64("text").alias("content")), "node"), "near-duplicates")
-        stays = member.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "content", "node"))["node"].alias("node"))
-        gone = stored(member.select("node").join(stays, "node", "left_anti"), "copies", stays=True)
+        if named:
+            copies = found.where("node <> component_id").select("node")
+        else:
+            member = stored(found.join(own.select("node", "own_id", F.xxhash64("text").alias("content")), "node"), "near-duplicates")
+            stays = member.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", "content", "node"))["node"].alias("node"))
+            copies = member.select("node").join(stays, "node", "left_anti")
+        gone = stored(copies, "copies", stays=True)
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(gone) if few else gone, "node", "left_anti").select("row.*")

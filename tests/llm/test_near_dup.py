@@ -156,14 +156,22 @@ def test_empty_table(spark):
     assert near_duplicates(df).count() == 0 and deduplicated(df).count() == 0
 
 
-def test_dedup_leaves_only_the_tables_its_result_reads(spark):
+def test_unique_ids_name_the_rows(spark):
+    rows = [(i, t) for i, t in {i: t for i, t in corpus(3)}.items() if i is not None]
+    df = spark.createDataFrame([(t, i, 5) for i, t in rows], "text string, doc_id int, node string")
+    got = deduplicated(df.repartition(4))
+    assert got.dtypes == df.dtypes and sorted((r.doc_id for r in got.collect()), key=repr) == survivors(rows)
+
+
+@pytest.mark.parametrize(("last", "tables"), [(3, ["copies"]), (2, ["copies", "numbered-documents"])])
+def test_dedup_leaves_only_the_tables_its_result_reads(spark, last, tables):
     import os
 
     from postresp.session import checkpoint_dir
     folder = checkpoint_dir(spark).removeprefix("file:")
     before = set(os.listdir(folder))
     text = "one two three four five six seven eight nine ten"
-    df = spark.createDataFrame([(1, text), (2, text + " eleven"), (3, "other words stand here")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, text), (2, text + " eleven"), (last, "other words stand here")], "doc_id long, text string")
     got = sorted(r.doc_id for r in near_dup.deduplicated(df).collect())
     new = sorted(n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before)
-    assert got == [1, 3] and new == ["copies", "numbered-documents"]
+    assert got == [1, last] and new == tables
