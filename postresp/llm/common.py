@@ -24,16 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: folders of the tables written inside a ``passing_tables`` block
-_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+#: folders of the tables written inside the open ``passing_tables`` blocks, outermost first
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
 @contextlib.contextmanager
 def passing_tables(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what ``stored`` wrote inside, but for tables marked
-    ``stays``: only for blocks whose results are all written tables."""
+    ``stays`` (they belong to the block around, if any): only for blocks whose
+    results are all written tables."""
     paths: list[str] = []
-    token = _PASSING.set(paths)
+    token = _PASSING.set((*_PASSING.get(), paths))
     try:
         yield
     finally:
@@ -47,8 +48,11 @@ def stored(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it
     back: cuts the lineage and survives the loss of executors."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    if not stays and (paths := _PASSING.get()) is not None:
-        paths.append(path)
+    open_blocks = _PASSING.get()
+    if stays:
+        open_blocks = open_blocks[:-1]
+    if open_blocks:
+        open_blocks[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

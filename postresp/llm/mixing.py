@@ -283,7 +283,7 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
     doc_id = F.col(id_col).cast("long")
     keyed = docs.select(F.coalesce(doc_id, F.lit(0)).alias("d"), doc_id.isNull().alias("no_id"),
                         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("content"),
-                        F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+                        F.struct("*").alias("row"))
     joined = keyed.dropDuplicates(["d", "no_id", "content"]).join(parts, ["d", "no_id", "content"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,4 +297,5 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
                        else row.field(i) for i, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields)], names=["row"])
 
-    return joined.select("text", "parts", "row").mapInArrow(frugal(cut), T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    # the text is read from the row after the join, so that it is shuffled once
+    return joined.select(F.col("row")[text_col].cast("string").alias("text"), "parts", "row").mapInArrow(frugal(cut), T.StructType([T.StructField("row", docs.schema)])).select("row.*")

@@ -392,5 +392,7 @@ def cut_texts(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", tex
                        else row.field(i) for i, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=fields)], names=["row"])
 
-    rows = _joined(docs, id_col, text_col, window).select("copy", "text", "spans", "row")
+    # the text is read from the row after the join, so that it is shuffled once
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).alias("text")
+    rows = _joined(docs, id_col, text_col, window).select("copy", text, "spans", "row")
     return rows.mapInArrow(frugal(run), T.StructType([T.StructField("row", docs.schema)])).select("row.*")
