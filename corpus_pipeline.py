@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from postresp.llm.bpe import bpe_encode
-from postresp.llm.common import stored, table
+from postresp.llm.common import passing_tables, stored, table
 from postresp.llm.mixing import mixed_texts
 from postresp.llm.near_dup import deduplicated
 from postresp.llm.quality_rules import quality_filter
@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing_tables(spark):     # what a stage writes on its way goes when its result is written
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", stays=True)
     return STAGES[-1][1](spark, docs, sf_dir)
