@@ -619,6 +619,7 @@ def k1_normality(spark, d):
 
 
 # ------------------------------------------------- text -> vectors: H -------
+from postresp.operators import cooccur as CO  # noqa: E402
 from postresp.operators import embed as H  # noqa: E402
 from postresp.operators import experiment as X  # noqa: E402
 
@@ -636,6 +637,24 @@ def _vec_summary(df: DataFrame) -> DataFrame:
                      F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
+@register("h1_cooccurrence")
+def h1_cooccurrence(spark, d):
+    """Vectors from pair counts of each fold's training rows, all rows embedded."""
+    prepared, _, splits = _splits(spark, d)
+    return _vec_summary(H.fold_embeddings(prepared, splits, "cooccurrence"))
+
+
+@register("h1_pair_weights", """
+WITH t AS (SELECT string_split(text, ' ') AS ws FROM documents WHERE text IS NOT NULL),
+     p AS (SELECT unnest(ws) AS word, generate_subscripts(ws, 1) AS i, ws FROM t),
+     d AS (SELECT word, ws[i + k] AS other, CAST(60 // k AS BIGINT) AS w FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k <= len(ws)),
+     b AS (SELECT word AS a, other AS b, w FROM d UNION ALL SELECT other, word, w FROM d)
+SELECT a, b, CAST(sum(w) AS BIGINT) AS weight FROM b GROUP BY a, b""")
+def h1_pair_weights(spark, d):
+    """Weights of word pairs up to five places apart, over whole texts."""
+    return CO.pair_weights(spark.read.parquet(f"{d}/documents.parquet").select(F.split("text", " ").alias("words")))
+
+
 @register("h1_word2vec")
 def h1_word2vec(spark, d):
     """Word2Vec fitted on each fold's training rows, all rows embedded."""
