@@ -5,7 +5,7 @@ import corpus_pipeline
 from tests.llm import test_bpe, test_mixing, test_near_dup, test_quality_rules, test_suffix_dedup
 
 from postresp.llm.common import stored, table
-from postresp.llm.mixing import Mix, targets
+from postresp.llm.mixing import Mix
 from postresp.llm.quality_rules import Rules
 
 SF = "/root/testdata/sf0.001"
@@ -35,7 +35,7 @@ def test_stages(spark):
     for r in mixed:
         taken[r.source] += test_mixing.size(r.text)
     order = sorted(words)
-    for s, t in zip(order, targets([words[s] for s in order], Mix())):
+    for s, t in zip(order, test_mixing.targets([words[s] for s in order], Mix())):
         assert abs(taken[s] - t) <= max(2 * Mix().block, 0.05 * t)
     last = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()}
     for r in mixed:
