@@ -55,6 +55,15 @@ def test_split_files_round_trip(spark):
     assert all(texts[r.row] == r.sentence for r in back.collect())
 
 
+def test_split_files_are_compressed_and_leave_the_session_as_it_was(spark, tmp_path):
+    prepared = spark.createDataFrame([(i, f"some words {i}", "small") for i in range(20)], "row long, sentence string, likes string")
+    before = spark.conf.get(A._OPEN_FILES)
+    A.write_split_files(prepared, S.split_table(S.assign_folds(prepared.select("row"))), str(tmp_path / "s"), targets=["likes"])
+    parts = [p for p in (tmp_path / "s").rglob("part-*")]
+    assert parts and all(p.name.endswith(".csv.gz") for p in parts) and spark.conf.get(A._OPEN_FILES) == before
+    assert {p.parent.name for p in parts} == {"split=train", "split=val", "split=test"}
+
+
 def test_posts_as_text_round_trip(spark):
     rows = [(i, t, i % 2 == 0) for i, t in enumerate([*ODD, "", None, "  ", '"'])]
     schema = A.T.StructType([f for f in A.POSTS_SCHEMA if f.name in ("post_id", "text", "has_media")])
