@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,7 +32,7 @@ from postresp.llm.token_counts import byte_alphabet, tokenizer_path
 
 #: white space of the file's patterns (Unicode White_Space)
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_SEPARATORS = re.compile("[\x1c-\x1f]").search
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPLIT = re.compile(f"[{_WHITE}]+").split
 SLICE = 4 << 20
 MEMO_SIZE = 120_000
@@ -145,7 +146,9 @@ class Codec:
         self.last = {b: self.vocab[c + self.suffix] for c, b in byte_alphabet().items()}
         classes, self.lower = rules
         letter, number = classes["L"], classes["N"]
-        self.odd = re.compile(f"[{''.join(map(chr, self.lower)) or chr(0x10FFFF)}]").search
+        self.odd_points = np.zeros(sys.maxunicode + 1, bool)
+        self.odd_points[list(self.lower)] = True
+        self.plain_ascii = not self.odd_points[:128].any()
         # the file's alternatives; no two begin with the same character, so their order is free
         self.words = re.compile(rf"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{number}]|[^{_WHITE}{letter}{number}]+").findall
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
@@ -155,7 +158,11 @@ class Codec:
     @staticmethod
     def chunks(text: str) -> list[str]:
         # str.split also cuts at four separators that are no white space here
-        return text.split() if not _SEPARATORS(text) else [c for c in _SPLIT(text) if c]
+        return text.split() if not any(c in text for c in _SEPARATORS) else [c for c in _SPLIT(text) if c]
+
+    def odd(self, text: str) -> bool:
+        """Whether Python lowers a character of ``text`` in another way than the file's normaliser."""
+        return bool(self.odd_points[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
 
     def word(self, word: str) -> list[int]:
         raw = word.encode("utf-8")
@@ -164,6 +171,8 @@ class Codec:
         return merge_symbols(symbols, self.ranks, self.merged)
 
     def normalised(self, text: str) -> str:
+        if text.isascii() and self.plain_ascii:
+            return text.lower()
         # per character, as the file's normaliser does: a final sigma is no special case
         text = unicodedata.normalize("NFC", text).replace("\N{GREEK CAPITAL LETTER SIGMA}", "\N{GREEK SMALL LETTER SIGMA}")
         return (text.translate(self.lower) if self.odd(text) else text).lower()

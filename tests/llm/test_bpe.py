@@ -35,6 +35,13 @@ def test_texts_equal_the_library(spark):
         assert r.ids_sha256 == sha(" ".join(map(str, ids))) and r.decoded_sha256 == sha(text)
 
 
+def test_ascii_texts_skip_the_normaliser_and_odd_letters_are_found(monkeypatch):
+    c = codec(FILE)
+    assert c.plain_ascii and not c.odd("plain é漢") and all(c.odd(f"é{chr(p)}") for p in c.lower)
+    monkeypatch.setattr(c, "odd", None)             # a text in ASCII is not looked through for odd letters
+    assert c.normalised("Hello WORLD\x1c") == "hello world\x1c"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcthe '\n<|>endoftext1é"))))
 def test_any_text_equals_the_library(text):
