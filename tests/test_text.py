@@ -87,6 +87,34 @@ def test_squeezing_equals_python_on_documents(spark):
     assert all(r.s == _passes(unit, r.text) for r in got)
 
 
+ODD_RUNS = ["abcccabccabcc xaaaa", "a\u0001aaa bbbb\u0001 cc", "\u0001", "", " \n", "\nxxx\n\n yyy", "aaa", "aaa\u00a0bbb\u2003ccc", "😀😀😀😀 é😀é😀é😀", "$1$1$1 \\\\\\",
+            "ab" * 60 + " " + "xyz" * 41 + "\tq" + "-" * 400, "\x1caaa\x1cbbb", "\x85aaaa\x85", "no repeat here", "…… … --- -- ... .. !!! ! a  b   c"]
+
+
+def test_squeezing_and_stripping_odd_runs(spark):
+    """Runs of a text go through the passes together: as each pass over the whole text gives it."""
+    df = spark.createDataFrame([(t,) for t in ODD_RUNS] + [(None,)], "t string")
+    whole = F.col("t")
+    for _ in range(T.SQUEEZE_PASSES):
+        whole = F.regexp_replace(whole, T.SQUEEZE_PATTERN, T.SQUEEZE_REPLACEMENT)
+    strip = F.replace("t", F.lit(T.BOILERPLATE_PHRASE), F.lit(""))
+    for pat, repl in T.STRIP_RULES:
+        strip = F.regexp_replace(strip, pat, repl)
+    got = df.select("t", T.squeeze_repeats(F.col("t")).alias("s"), whole.alias("w"), T.strip_low_content(F.col("t")).alias("l"), strip.alias("m")).collect()
+    for r in got:
+        assert (r.s, r.l) == (r.w, r.m), r.t
+
+
+def test_a_pass_is_one_call_a_text(spark):
+    """The repeated runs of a text are fenced and joined; plain words are searched, not counted."""
+    from postresp.operators.clean import clean_posts
+    df = spark.createDataFrame([(1, "goooood one two three " * 5000)], "post_id long, text string")
+    out = clean_posts(df)
+    assert out.first().text == "good one two three " * 5000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" in plan and "regexp_count" not in plan
+
+
 def _passes(unit, x):
     for _ in range(10):
         x = unit.sub(lambda m: m.group(2), x)
