@@ -7,9 +7,9 @@
   broadcast.  Rows are explained in Arrow batches by ``mapInPandas`` and come
   out long: ``(row, class, feature, phi)``.
 * ``permutation_shap`` -- model-agnostic sampled-permutation Shapley values:
-  every (row, permutation, step) is a row of a Spark DataFrame evaluated by
-  the model's own ``transform``; differences come from a window per
-  (row, permutation) of ``d + 1`` rows.
+  a perceptron is evaluated in Arrow batches, a row's equal points once; for
+  other models every (row, permutation, step) is a row of a Spark DataFrame
+  evaluated by the model's own ``transform``.
 * ``kernel_shap`` -- model-agnostic Shapley values by the Shapley kernel: values
   of coalitions, one least-squares system per row and class; exact when all
   coalitions are used.
@@ -33,10 +33,12 @@ import math
 import uuid
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postresp.operators.perceptron import unfold
 from postresp.session import scratch_path
 
 # ------------------------------------------------------------- node tables --
@@ -271,6 +273,70 @@ def tree_shap(model, data: DataFrame, kind: str, feature_names: list[str] | None
 
 
 # ------------------------------------------------------ model-agnostic -----
+SAMPLE_VALUES = 8192    #: values of the samples in a record of ``permutation_shap`` at most
+
+
+def probability_function(model):
+    """The model as a function from a matrix of rows to their class probabilities,
+    or ``None``: networks with ``probabilities`` and Spark's perceptron have one."""
+    if hasattr(model, "probabilities"):
+        return model.probabilities
+    if not isinstance(model, MultilayerPerceptronClassificationModel):
+        return None
+    sizes = list(model.getLayers())
+    layers = unfold(model.weights.toArray(), list(zip(sizes, sizes[1:])))
+
+    def probabilities(x: np.ndarray) -> np.ndarray:
+        for w, b in layers[:-1]:
+            x = 1.0 / (1.0 + np.exp(-(x @ w + b)))
+        raw = x @ layers[-1][0] + layers[-1][1]
+        out = np.exp(raw - raw.max(1, keepdims=True))
+        return out / out.sum(1, keepdims=True)
+
+    return probabilities
+
+
+def _sampled_sums(chances, base: np.ndarray, names: list[str], n_samples: int):
+    """Of records ``row, x, bids, perms`` (background row and permutation of each
+    sample): ``row, class, feature, phi``, the changes of the output summed over
+    the samples.  Points with the same features switched in over the same
+    background row are evaluated once."""
+    nb, d = base.shape
+
+    def run(batches):
+        import pyarrow as pa
+
+        from postresp.operators.blocks import matrix
+        table = None
+        if d < 20 and nb << d <= n_samples * (d + 1):     # every point may occur: no search for the different ones
+            member = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(bool)
+            table = np.tile(member, (nb, 1)), np.repeat(base, 1 << d, axis=0)
+        for batch in batches:
+            xs = matrix(batch.column(1))
+            for i in range(batch.num_rows):
+                bid = batch.column(2)[i].values.to_numpy().astype(np.int64)
+                perm = batch.column(3)[i].values.to_numpy().astype(np.int64).reshape(len(bid), d)
+                # features switched in after k steps
+                inside = np.zeros((len(bid), d + 1, d), bool)
+                np.put_along_axis(inside[:, 1:], perm[:, :, None], True, axis=2)
+                inside = np.logical_or.accumulate(inside, axis=1)
+                if table is not None:
+                    value = chances(np.where(table[0], xs[i], table[1]))
+                    at = (bid[:, None] << d) + inside @ (1 << np.arange(d))
+                else:
+                    points = np.where(inside, xs[i], base[bid][:, None, :]).reshape(-1, d)
+                    points, at = np.unique(points, axis=0, return_inverse=True)
+                    value, at = chances(points), at.reshape(len(bid), d + 1)
+                delta = (value[at[:, 1:]] - value[at[:, :-1]]).reshape(len(bid) * d, -1)
+                phi = np.stack([np.bincount(perm.ravel(), delta[:, c], d) for c in range(delta.shape[1])])
+                n = phi.size
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.full(n, i))), pa.array(np.repeat(np.arange(len(phi), dtype=np.int32), d)),
+                     pa.array(names * len(phi)), pa.array(phi.ravel())], names=["row", "class", "feature", "phi"])
+
+    return run
+
+
 def permutation_shap(model, explain_rows: DataFrame, background: DataFrame, n_features: int,
                      n_samples: int = 1000, seed: int = 13, features_col: str = "features",
                      output_col: str = "probability", n_classes: int = 3,
@@ -289,14 +355,28 @@ def permutation_shap(model, explain_rows: DataFrame, background: DataFrame, n_fe
     bg = (background.select(vector_to_array(features_col).alias("_b"))
           .withColumn("_bid", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1))
     d = n_features
+    names = feature_names or [f"f{j}" for j in range(d)]
     rows = explain_rows.select("row", vector_to_array(features_col).alias("_x"))
+    key = lambda s: F.concat_ws(":", F.lit(str(seed)), F.col("row").cast("string"), s.cast("string"))
+    bid = lambda k: F.pmod(F.xxhash64(k), F.lit(n_bg))
+    perm = lambda k: F.transform(
+        F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.struct(F.xxhash64(k, j).alias("h"), j.alias("j")))), lambda s: s["j"])
+    chances = probability_function(model)
+    if chances is not None:
+        base = np.array([r["_b"] for r in bg.orderBy("_bid").collect()], float).reshape(n_bg, d)
+        n = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        per = max(1, min(n_samples, SAMPLE_VALUES // (d + 1)))
+        samp = rows.repartition(n).withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1), F.lit(per))))
+        samples = F.sequence(F.col("_at"), F.least(F.col("_at") + per, F.lit(n_samples)) - 1)
+        samp = samp.withColumn("_keys", F.transform(samples, key))
+        samp = samp.select("row", "_x", F.transform("_keys", bid).alias("_bids"),
+                           F.flatten(F.transform("_keys", perm)).cast("array<smallint>").alias("_perms"))
+        sums = samp.mapInArrow(_sampled_sums(chances, base, names, per), "row long, class int, feature string, phi double")
+        return sums.groupBy("row", "class", "feature").agg((F.sum("phi") / n_samples).alias("phi"))
     samp = rows.select("row", "_x", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
-    key = F.concat_ws(":", F.lit(str(seed)), F.col("row").cast("string"), F.col("_s").cast("string"))
-    samp = samp.withColumn("_bid", F.pmod(F.xxhash64(key), F.lit(n_bg)))
-    perm = F.transform(
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                                 lambda j: F.struct(F.xxhash64(key, j).alias("h"), j.alias("j")))),
-        lambda s: s["j"])
+    samp = samp.withColumn("_key", key(F.col("_s")))
+    samp = samp.withColumn("_bid", bid(F.col("_key")))
+    perm = perm(F.col("_key"))
     samp = samp.withColumn("_perm", perm).join(F.broadcast(bg), "_bid")
     steps = samp.select("row", "_s", "_x", "_b", "_perm",
                         F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_k"))
@@ -315,7 +395,6 @@ def permutation_shap(model, explain_rows: DataFrame, background: DataFrame, n_fe
     per_class = signed.select("row", "feature_idx", F.posexplode(
         F.transform("_out", lambda o: o * F.col("sign"))).alias("class", "delta"))
     phi = per_class.groupBy("row", "class", "feature_idx").agg((F.sum("delta") / n_samples).alias("phi"))
-    names = feature_names or [f"f{j}" for j in range(d)]
     fmap = F.create_map(*[x for j, n in enumerate(names) for x in (F.lit(j), F.lit(n))])
     return phi.select("row", F.col("class").cast("int").alias("class"),
                       F.element_at(fmap, F.col("feature_idx")).alias("feature"), "phi")
