@@ -37,6 +37,8 @@ from postresp.llm.common import frugal, mix64, small_slices, stored, text_bytes
 from postresp.llm.spans import LOWER, Hashes
 
 SLICE = 4 << 20
+#: bytes hashed at a time: prefix sums and powers take 40 bytes for each
+HASHED = 1 << 19
 MIN_COUNT = 10
 TOP = 2000
 #: a longer phrase with this share (percent) of a phrase's occurrences drops it
@@ -80,11 +82,22 @@ class Words:
         self.langs = coded.dictionary.to_pylist()
         self.lang = coded.indices.to_numpy()[doc]
         tag = np.array([np.frombuffer(_digest(x, seed), np.uint64)[0] for x in self.langs], np.uint64)
-        keys = mix64(Hashes.of_bytes(raw)(self.starts, self.ends) ^ tag[self.lang]) if len(doc) else np.zeros(0, np.uint64)
+        keys = mix64(self._hashes() ^ tag[self.lang]) if len(doc) else np.zeros(0, np.uint64)
         self.keys, self.first, self.ids, self.counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        breaks = np.concatenate([[0], np.cumsum(_BREAK[raw])])
+        breaks = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(_BREAK[raw], dtype=np.int32, out=breaks[1:])
         self.joined = (doc[1:] == doc[:-1]) & (breaks[self.starts[1:]] == breaks[self.ends[:-1]]) if len(doc) else np.zeros(0, bool)
 
+    def _hashes(self) -> np.ndarray:
+        """Hashes of all words (the same wherever a word stands), some bytes at a time."""
+        out = np.empty(len(self.starts), np.uint64)
+        cuts = np.searchsorted(self.starts, np.arange(0, len(self.raw) + HASHED, HASHED))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a < b:
+                base = self.starts[a]
+                out[a:b] = Hashes.of_bytes(self.raw[base:self.ends[b - 1]])(self.starts[a:b] - base, self.ends[a:b] - base)
+        return out
+
     def word(self, k: int) -> str:
         i = self.first[k]
         return self.raw[self.starts[i]:self.ends[i]].tobytes().decode()

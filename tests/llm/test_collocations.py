@@ -1,7 +1,10 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from postresp.llm import collocations as C
@@ -105,3 +108,22 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "text string, lang string")
     assert collocations(df).count() == 0
     assert collocations(spark.createDataFrame([("a b c", "en")], "text string, lang string")).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_words_are_hashed_some_bytes_at_a_time(monkeypatch):
+    texts = pa.array(["Ein Wort, " * 40, "x" * 300 + " b", None, "", "é b. b"])
+    langs = pa.array(["de", "en", "en", "und", "fr"])
+    whole = C.Words(texts, langs, 0)
+    monkeypatch.setattr(C, "HASHED", 16)
+    parts = C.Words(texts, langs, 0)
+    assert np.array_equal(whole.keys, parts.keys) and np.array_equal(whole.ids, parts.ids)
+
+
+def test_memory_of_a_slice():
+    texts = pa.array(["".join(f"w{i % 5000} " for i in range(20_000))] * (C.SLICE // 115_000))
+    langs = pa.array(["en"] * len(texts))
+    tracemalloc.start()
+    C.Words(texts, langs, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * C.SLICE
