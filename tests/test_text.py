@@ -127,3 +127,33 @@ def test_cleaning_is_stable_under_repartitioning(spark):
     p = posts(spark, "/root/testdata/sf0.001")
     a, b = clean_posts(p.repartition(3)), clean_posts(p.repartition(11, "text"))
     assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+
+
+def test_rules_are_applied_where_their_matches_can_be(spark):
+    """What a rule's matches hold is looked for first; the texts come out as from the plain chain."""
+    texts = ["", "none of it", "pic twitter.com/a pic.twitter.com/b c", "http:/ https:// http://x https://pbs.twimg.com/media/q.jpg", "https://twitter.com/u/1 x",
+             "URL# URL#a b", "picxtwitterxcom/é", "a@b @ @c", "_IMAGEx _URL _RETWEET1 ht", "a\u00a0b - -- --- . .. ! !!", "  x  ", "…", "_URL…", "é  漢", None]
+    df = spark.createDataFrame([(t,) for t in [*texts, "  ".join(t for t in texts if t)]], "t string")
+    links, strip = F.col("t"), F.replace("t", F.lit(T.BOILERPLATE_PHRASE), F.lit(""))
+    for prefix, repl in T.LINK_RULES:
+        links = F.regexp_replace(links, prefix + T.LINK_TAIL_COMPAT, repl)
+    for pat, repl in T.STRIP_RULES:
+        strip = F.regexp_replace(strip, pat, repl)
+    got = df.select("t", T.replace_links(F.col("t")).alias("l"), links.alias("m"), T.strip_low_content(F.col("t")).alias("s"), strip.alias("u"),
+                    T.collapse_spaces(F.col("t")).alias("c"), F.regexp_replace("t", " +", " ").alias("d"))
+    for r in got.collect():
+        assert (r.l, r.s, r.c) == (r.m, r.u, r.d), r.t
+    plan = got.select("l", "s", "c")._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("contains(") >= len(T.LINK_RULES) + len(T.STRIP_RULES)
+
+
+def test_a_pass_that_changes_nothing_is_the_last(spark):
+    """Repeats of every length of unit and number of copies, in short and long runs, as ten passes leave them."""
+    import re
+    unit = re.compile(r"(\S+)(\1{2,})")
+    texts = ["q" * a + "abcdefghijkl"[:u] * n + "z" * b for u in (1, 2, 3, 4, 5, 11) for n in (2, 3, 4, 9, 40) for a, b in ((0, 0), (1, 2), (7, 0))]
+    texts.append(" ".join(texts))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.squeeze_repeats(F.col("t")).alias("s"))
+    assert all(r.s == _passes(unit, r.t) for r in got.collect())
+    assert re.search(r"CASE WHEN \(lambda \S+ = lambda", got._jdf.queryExecution().analyzed().toString())
