@@ -107,3 +107,11 @@ def test_feature_tables_join_buckets_without_a_shuffle(spark):
         assert rows == sorted((r.row, r.features) for r in plain.collect()) and rows
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_bucketed_feature_table_prepares_the_posts_once(spark, monkeypatch):
+    from postresp.plans import catalog as C
+    from tests.conftest import SF_SMALL
+    calls, plain = [], C.prepare_posts
+    monkeypatch.setattr(C, "prepare_posts", lambda *a, **kw: calls.append(1) or plain(*a, **kw))
+    assert C.g1_bucketed_feature_table(spark, SF_SMALL).count() > 0 and len(calls) == 1
